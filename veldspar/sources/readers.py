@@ -24,7 +24,7 @@ def table_name(path: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, schema: T.StructType | None = None) -> DataFrame:
     """Delimited text with a header; read as Latin-1 where UTF-8 doesn't decode it. A schema spares the inference pass over the file."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count()
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1" if bad else "UTF-8").option("prefersDecimal", False)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
 
