@@ -42,18 +42,20 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 _MARKUP = re.compile(rb"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
 
-def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text index) of every 4-byte gram that has no two spaces side by side; texts are fenced by spaces."""
-    parts = [b" " + (t or b"").translate(_TABLE) + b"    " for t in texts]
-    data = np.frombuffer(b"".join(parts) + b"    ", np.uint8)
-    n = sum(map(len, parts))
-    wide = data.astype(np.uint32)
-    value = wide[:n] | wide[1 : n + 1] << np.uint32(8) | wide[2 : n + 2] << np.uint32(16) | wide[3 : n + 3] << np.uint32(24)
-    blank = data == 32
-    pair = blank[:-1] & blank[1:]
-    good = ~(pair[:n] | pair[1 : n + 1] | pair[2 : n + 2])
-    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    return (value[good] * np.uint32(2654435761)) >> np.uint32(32 - BITS), owner[good]
+def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all 4-byte windows of the texts in a row, and where each text's own grams start and end.
+
+    Letters only, words apart by one space, each text fenced by spaces; windows that run from one text into the next
+    lie outside of the ranges.
+    """
+    parts = [b" ".join((t or b"").translate(_TABLE).split()) for t in texts]
+    data = b"".join(b" " + p + b" " for p in parts) + b"    "
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    wide = np.ndarray((len(data) - GRAM + 1,), np.dtype("<u4"), data, strides=(1,))
+    h = wide * np.uint32(2654435761)
+    h >>= np.uint32(32 - BITS)
+    return h, starts, starts + np.where(sizes > 0, np.maximum(sizes + 2 - GRAM + 1, 0), 0)
 
 
 @dataclass
@@ -65,9 +67,10 @@ class TextModel:
 
     def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text: tempered log-likelihoods a language, whether the text is in a known language, the number of grams."""
-        h, owner = grams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        sums = np.stack([np.bincount(owner, weights=self.table[h, k], minlength=len(texts)) for k in range(self.table.shape[1])], axis=1)
+        h, starts, ends = grams(texts)
+        n = ends - starts
+        rows = np.add.reduceat(self.table.take(h, axis=0), np.stack([starts, ends], axis=1).ravel(), axis=0)[::2]
+        sums = np.where(n[:, None] > 0, rows, 0.0)  # an empty range has a row of its own
         mean = sums / np.maximum(n, 1)[:, None]
         known = (n > 0) & (mean[:, -1] > -BITS * np.log(2.0)) if self.languages else np.zeros(len(texts), bool)
         return mean[:, :-1] * np.minimum(n, EFFECTIVE)[:, None], known, n
@@ -86,7 +89,8 @@ def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", ke
             texts = as_bytes(batch.column(1))
             totals = np.zeros((len(names), 1 << BITS), np.int64)
             for k, t in enumerate(texts):
-                totals[of[table[k]]] += np.bincount(grams([t])[0], minlength=1 << BITS)
+                h, starts, ends = grams([t])
+                totals[of[table[k]]] += np.bincount(h[starts[0] : ends[0]], minlength=1 << BITS)
             for k, name in enumerate(names):
                 at = np.flatnonzero(totals[k])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(totals[k][at])], names=["lang", "h", "n"])
@@ -139,22 +143,28 @@ def with_address(df: DataFrame, declared: Column, host: Column, path: Column | N
     })
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raw = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+def _most(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
+def _posterior(scores: list[Column]) -> list[Column]:
+    """Shares of exp(score), a column a language: plain arithmetic that compiles, where array functions would repeat it by element."""
+    top = _most(scores)
+    raw = [F.exp(x - top) for x in scores]
+    total = sum(raw[1:], raw[0])
+    return [x / total for x in raw]
+
+
+def _items(array: str, n: int) -> list[Column]:
+    return [F.element_at(array, k + 1) for k in range(n)]
 
 
 def _sums(df: DataFrame, key: str | None, n: int, name: str) -> DataFrame:
-    many = [F.sum(F.when(F.col("_vs_known"), F.element_at("_vs_post", k + 1)).otherwise(0.0)).alias(f"p{k}") for k in range(n)]
+    many = [F.sum(f"_vs_p{k}").alias(f"p{k}") for k in range(n)]
     out = (df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")) if key else df.groupBy(F.lit("").alias("k"))).agg(*many)
     return out.select("k", F.array(*[F.col(f"p{k}") for k in range(n)]).alias(name))
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
 def _shares(own: Column, parent: Column) -> Column:
     """Shares of own counts, smoothed by SMOOTHING pseudo-rows of the parent's shares."""
     total = F.aggregate(own, F.lit(SMOOTHING), lambda a, b: a + b)
@@ -174,7 +184,9 @@ class Evidence:
 
 def gather(scored: DataFrame, n: int) -> Evidence:
     """Evidence tables over all rows of scored, which has the keys and _vs_ll; only keys and sums are shuffled."""
-    narrow = scored.select("_vs_known", "_vs_declared", "_vs_host", "_vs_domain", "_vs_suffix", "_vs_segment", _softmax(F.col("_vs_ll")).alias("_vs_post"))
+    narrow = scored.select("_vs_known", "_vs_declared", "_vs_host", "_vs_domain", "_vs_suffix", "_vs_segment", *[x.alias(f"_vs_l{k}") for k, x in enumerate(_items("_vs_ll", n))])
+    own = _posterior([F.col(f"_vs_l{k}") for k in range(n)])
+    narrow = narrow.withColumns({f"_vs_p{k}": F.when(F.col("_vs_known"), x).otherwise(0.0) for k, x in enumerate(own)})
     total = _sums(narrow, None, n, "s").select("s").first()
     raw = np.array(total[0] if total and total[0] and total[0][0] is not None else [0.0] * n) + 1.0
     overall = (raw / raw.sum()).tolist()
@@ -207,16 +219,20 @@ def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
         out = out.join(_cells(table, evidence.overall, f"_vs_e_{key}"), F.col(f"_vs_{key}") == F.col(f"k_vs_e_{key}"), "left")
     hosts = evidence.host.select(F.col("k").alias("_vs_k_host"), F.col("n_host").alias("_vs_n_host"), F.col("parent").alias("_vs_parent"))
     out = out.join(checked_broadcast(hosts), F.col("_vs_host") == F.col("_vs_k_host"), "left")
-    base = F.array(*[F.lit(float(x)) for x in evidence.overall])
-    own = F.when(F.col("_vs_known"), _softmax(F.col("_vs_ll"))).otherwise(F.array(*[F.lit(0.0)] * n))
-    others = F.zip_with(F.col("_vs_n_host"), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    prior = F.coalesce(_shares(others, F.col("_vs_parent")), base)
-    score = _plus(F.col("_vs_ll"), F.transform(prior, lambda p: F.log(p)))
-    none = F.array(*[F.lit(0.0)] * n)
-    for key in ("declared", "suffix", "segment"):
-        score = _plus(score, F.coalesce(F.col(f"_vs_e_{key}"), none))
-    out = out.withColumn("_vs_fused", _softmax(score)).withColumn("confidence", F.array_max("_vs_fused"))
-    best = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position(F.col("_vs_fused"), F.col("confidence")).cast("int"))
+    languages = range(n)
+    out = out.withColumns({f"_vs_l{k}": x for k, x in enumerate(_items("_vs_ll", n))})
+    own = _posterior([F.col(f"_vs_l{k}") for k in languages])
+    others = {f"_vs_o{k}": F.greatest(F.element_at("_vs_n_host", k + 1) - F.when(F.col("_vs_known"), own[k]).otherwise(0.0), F.lit(0.0)) for k in languages}
+    out = out.withColumns({c: F.when(F.col("_vs_n_host").isNotNull(), x) for c, x in others.items()})
+    total = sum((F.col(f"_vs_o{k}") for k in languages), F.lit(SMOOTHING))
+    prior = [F.coalesce((F.col(f"_vs_o{k}") + SMOOTHING * F.element_at("_vs_parent", k + 1)) / total, F.lit(float(evidence.overall[k]))) for k in languages]
+    told = [sum((F.coalesce(F.element_at(f"_vs_e_{key}", k + 1), F.lit(0.0)) for key in ("declared", "suffix", "segment")), F.lit(0.0)) for k in languages]
+    out = out.withColumns({f"_vs_s{k}": F.col(f"_vs_l{k}") + F.log(prior[k]) + told[k] for k in languages})
+    out = out.withColumns({f"_vs_f{k}": x for k, x in enumerate(_posterior([F.col(f"_vs_s{k}") for k in languages]))})
+    out = out.withColumn("confidence", _most([F.col(f"_vs_f{k}") for k in languages]))
+    best = F.lit(None).cast("string")
+    for k in reversed(languages):
+        best = F.when(F.col(f"_vs_f{k}") == F.col("confidence"), F.lit(model.languages[k])).otherwise(best)
     named = (F.col("_vs_known") | (F.col("_vs_grams") == 0)) & (F.col("confidence") >= 0.5)
     return out.select(*[F.col(f"`{c}`") for c in columns], F.when(named, best).otherwise(F.lit(UND)).alias("language"), "confidence", F.col("_vs_known").alias("known"), (named & F.col("_vs_known")).alias("kept"))
 
