@@ -230,12 +230,18 @@ def spans_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(x, np.int64) for x in zip(*spans))  # type: ignore[return-value]
 
 
-def _log_odds(doc: np.ndarray, item: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Class log-odds of hashed items by documents that hold them, less two standard errors, from 0 to 2. doc, item: pairs."""
+def _presence(counts: np.ndarray, doc: np.ndarray, item: np.ndarray, labels: np.ndarray) -> None:
+    """Add to counts (by label and hashed item) the documents that hold each item. doc, item: pairs of whole documents."""
     pairs = np.unique(doc << _ODDS_BITS | item)
     label = labels[pairs >> _ODDS_BITS] == 1
     item = pairs & ((1 << _ODDS_BITS) - 1)
-    pos, neg = (np.bincount(item[x], minlength=1 << _ODDS_BITS) for x in (label, ~label))
+    for k, own in ((0, ~label), (1, label)):
+        counts[k] += np.bincount(item[own], minlength=1 << _ODDS_BITS)
+
+
+def _log_odds(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Class log-odds of hashed items by documents that hold them, less two standard errors, from 0 to 2."""
+    neg, pos = counts
     n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
@@ -349,16 +355,21 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     top = np.uint64(64 - _ODDS_BITS)
     pairs = np.unique(np.repeat(np.arange(len(docs), dtype=np.int64), np.diff(first)) * len(known) + flat)
     doc, word = pairs // len(known), pairs % len(known)
-    odds_word = _log_odds(doc, (whole[word] >> top).astype(np.int64), labels)
-    held, items = [], []
-    for hashes, of in grams:
-        many = np.bincount(of, minlength=len(known))
-        repeat = many[word]
-        offset = np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        held.append(np.repeat(doc, repeat))
-        items.append((hashes[np.repeat((np.cumsum(many) - many)[word], repeat) + offset] >> top).astype(np.int64))
-    odds_char = _log_odds(np.concatenate(held), np.concatenate(items), labels)
-    del held, items
+    by_word, by_char = (np.zeros((2, 1 << _ODDS_BITS), np.int64) for _ in range(2))
+    begins = [np.searchsorted(of, np.arange(len(known) + 1)) for _, of in grams]
+    for a in range(0, len(docs), 100):  # some documents at a time, so that memory stays small
+        some = slice(*np.searchsorted(doc, (a, a + 100)))
+        d, w = doc[some], word[some]
+        _presence(by_word, d, (whole[w] >> top).astype(np.int64), labels)
+        held, items = [], []
+        for (hashes, _), begin in zip(grams, begins):
+            repeat = begin[w + 1] - begin[w]
+            offset = np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+            held.append(np.repeat(d, repeat))
+            items.append((hashes[np.repeat(begin[w], repeat) + offset] >> top).astype(np.int64))
+        _presence(by_char, np.concatenate(held), np.concatenate(items), labels)
+    odds_word, odds_char = _log_odds(by_word, labels), _log_odds(by_char, labels)
+    del whole, grams, begins, doc, word, pairs
     net = Network.start(odds_word, odds_char)
     trainer = Trainer(net)
     owner, starts, sizes = spans_of(first)
