@@ -257,4 +257,6 @@ def keep_known(docs: DataFrame, text: str = "text", language: str = "lang", sour
     scored = with_text_evidence(address_of_documents(docs, source), model, text)
     evidence = gather(with_text_evidence(address_of_documents(docs.select(text, source), source), model, text, ["_vs_declared", "_vs_host", "_vs_domain", "_vs_suffix", "_vs_segment"]), len(model.languages)) if model.languages else None
     renamed = scored.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *[c for c in scored.columns if c.startswith("_vs_")])
-    return fuse(renamed, model, evidence).filter("kept").select("doc.*")
+    fused = fuse(renamed, model, evidence)
+    # Pushed through the projections of fuse, the filter would repeat their expressions; a column that isn't deterministic holds it above them.
+    return fused.withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0)).filter("kept").select("doc.*")
