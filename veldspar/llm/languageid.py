@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, bounded_sample, checked_broadcast, map_columns, without
+from .shared import as_bytes, bounded_sample, checked_broadcast, map_columns, materialize, without
 
 BITS, GRAM, ALPHA = 16, 4, 0.5
 EFFECTIVE = 40.0
@@ -251,11 +251,14 @@ def address_of_documents(docs: DataFrame, source: str = "source") -> DataFrame:
 
 
 def keep_known(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs whose language is one of those that labelled documents have."""
+    """docs whose language is one of those that labelled documents have; texts are scored once for the evidence and once in passing, and none is written or shuffled."""
     model = fit_text(docs, text, language, key)
     columns = docs.columns
+    if not model.languages:
+        return docs.limit(0)
+    narrow = address_of_documents(docs.select(text, source), source)
+    evidence = gather(materialize(with_text_evidence(narrow, model, text, [c for c in narrow.columns if c.startswith("_vs_")]), "language-evidence"), len(model.languages))
     scored = with_text_evidence(address_of_documents(docs, source), model, text)
-    evidence = gather(with_text_evidence(address_of_documents(docs.select(text, source), source), model, text, ["_vs_declared", "_vs_host", "_vs_domain", "_vs_suffix", "_vs_segment"]), len(model.languages)) if model.languages else None
     renamed = scored.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *[c for c in scored.columns if c.startswith("_vs_")])
     fused = fuse(renamed, model, evidence)
     # Pushed through the projections of fuse, the filter would repeat their expressions; a column that isn't deterministic holds it above them.
