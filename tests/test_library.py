@@ -162,3 +162,10 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     windows.profile_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(str(tmp_path / "out"))
     assert got.count() <= windows.tumbling(events).count()
+    batch, whole = windows.tumbling(events), spark.read.parquet(str(tmp_path / "out"))
+    assert whole.schema["window_start"].dataType == batch.schema["window_start"].dataType
+    closed = {tuple(r) for r in whole.collect()}
+    every = {tuple(r) for r in batch.collect()}
+    last = max(r[0] for r in every)
+    assert closed and closed <= every
+    assert {r for r in every if r[0] < last} <= closed  # only the newest window may still be open

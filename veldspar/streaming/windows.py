@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def tumbling(events: DataFrame, ts: str = "ts", length: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Counts and sums by window and type; with a watermark where events is a stream."""
+    """Counts and sums by window and type; with a watermark where events is a stream.
+
+    Watermarks take instants only, so a time without zone is read as UTC under one and given back without zone.
+    """
+    zoneless = bool(late) and events.isStreaming and events.schema[ts].dataType == T.TimestampNTZType()
+    if zoneless:
+        events = events.withColumn(ts, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {_EPOCH}, `{ts}`))"))
     if late and events.isStreaming:
         events = events.withWatermark(ts, late)
     got = events.groupBy(F.window(ts, length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return got.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    start = F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {_EPOCH})") if zoneless else F.col("w.start")
+    return got.select(start.alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, ts: str = "ts", key: str = "user_id", gap: str = "30 minutes") -> DataFrame:
