@@ -437,6 +437,24 @@ def test_html_cases(spark):
     assert [got[k].text for k in (2, 3, 4)] == ["", "", ""] and got[5].n_chars == 249_999
 
 
+def test_html_text_after_and_around_embedded_elements():
+    field, first, second = htmltext.trained(), "The first paragraph of this article has some words.", "Second paragraph comes later with more words."
+
+    def text(between, inside=""):
+        return field.text(f"<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>A title</h1><p>The first {inside}paragraph of this article has some words.</p>{between}<p>{second}</p></article><footer>&copy; us</footer>")
+
+    whole = f"A title\n\n{first}\n\n{second}"
+    lone = ["<svg-icon name=a></svg-icon>", "<video-player></video-player>", "<title-bar></title-bar>", "<style-guide></style-guide>", "<template-x></template-x>", "<svg class='i' />", "<math/>", "<svg><title/><path d='x'/></svg>"]
+    lone += [f"<{tag}>" for tag in "select object video audio canvas math svg datalist noscript template".split()]
+    held = ["<select><option>Red<option>Green</select>", "<svg><text>Axis label</text></svg>", "<video><p>No video here. <a href=x>Get it</a></p></video>", "<template><p>Not shown</p></template>", "<noscript>Please turn it on.</noscript>"]
+    assert {x: text(x) for x in lone + held} == dict.fromkeys(lone + held, whole)
+    assert {x: text("", x) for x in lone[5:] + held} == dict.fromkeys(lone[5:] + held, whole)
+    assert text("", "<math><mi>x</mi><mo>+</mo><mn>1</mn></math> ") == whole.replace("first ", "first x + 1 ")
+    assert text("<xmp>a < b &amp; <i>c</xmp>") == whole.replace(second, f"a < b &amp; <i>c\n\n{second}")
+    assert text("<select><option>Red") == whole.replace(second, f"Red\n\n{second}")
+    assert text("<script>var x = '<p>no</p>'</script >") == whole and second not in text("<script>")
+
+
 def test_scratch_tables_can_be_released(spark):
     materialize(spark.range(3), "gone")
     assert release(spark) >= 1

@@ -3,12 +3,14 @@
 A page is cut to leaf blocks: runs of text between the starts and ends of block elements, with the chain of their
 ancestors. Each block's label (main text or not) depends on features of its ancestors' tags, classes, ids and roles,
 on its text, and on its neighbours' labels. Weights are learned on pages with known labels, which a seeded generator
-lays out in many ways (`TRAINING_PAGES` of them); pages are decoded by Viterbi's algorithm. Scripts, styles, templates
-and the head hold no blocks.
+lays out in many ways (`TRAINING_PAGES` of them); pages are decoded by Viterbi's algorithm. Scripts, styles, titles,
+text areas, frames, templates and the head hold no blocks. Text in embedded elements (`EMBEDDED`) makes blocks of its
+own after the paragraph it stands in, which goes on behind them.
 
 Defined cases: null and empty pages have no text; unclosed elements close as browsers close them, at the next block
-or at the end; character references are decoded once; white space inside a block, breaks included, becomes one space;
-empty blocks go; repeated rows have equal results; extra columns stay out of the result.
+or at the end; embedded elements without an end tag hold nothing; character references are decoded once; white space
+inside a block, breaks included, becomes one space; empty blocks go; repeated rows have equal results; extra columns
+stay out of the result.
 """
 
 from __future__ import annotations
@@ -26,14 +28,19 @@ from pyspark.sql import types as T
 from .shared import map_columns
 
 TRAINING_PAGES, SEED = 700, 11
-RAW = "script style textarea title noscript template iframe xmp noembed noframes svg math select datalist object audio video canvas head"
+RAW = "script style textarea title iframe noembed noframes".split()
+EMBEDDED = frozenset("svg select datalist object audio video canvas noscript template".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + RAW.replace(" ", "|").replace("|head", "") + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?(?:</(?P=raw)\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
-    re.S | re.I,
+    re.S,
 )
+_ENDS = {tag: re.compile(rf"</({tag})(?=[\s/>])[^>]*+>", re.I) for tag in (*RAW, "xmp")}
+#: The same inside of SVG, where none of these elements reaches beyond its picture.
+_SVG_ENDS = {tag: re.compile(rf"</({tag})(?=[\s/>])[^>]*+>|</?svg(?=[\s/>])", re.I) for tag in _ENDS}
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -47,6 +54,46 @@ class Block:
     link_chars: int
 
 
+def _tags(page: str) -> list[tuple[int, int, str, bool, str, tuple[int, int] | None]]:
+    """Tags of a page: start, end, name, whether it is an end tag, attributes, and from where to where its content goes.
+
+    Contents are known of raw text, whose tag ends with it, and of embedded elements. What isn't an element has no name,
+    as have embedded elements without an end tag.
+    """
+    out: list = []
+    open_at: dict[str, list[int]] = {tag: [] for tag in EMBEDDED}
+    unended, at = set(), 0
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        if not m["tag"]:
+            out.append((start, at, "", False, "", None))
+            continue
+        tag, end, attrs, inner = m["tag"].lower(), bool(m["end"]), m["attrs"], None
+        closed, drawn = attrs.endswith("/"), bool(open_at["svg"])
+        if tag in _ENDS and not end:
+            stop = None if tag in unended or closed and drawn else (_SVG_ENDS if drawn else _ENDS)[tag].search(page, at)
+            if stop and stop[1]:
+                inner, at = (at, stop.start()), stop.end()
+            elif drawn or tag == "xmp":
+                tag = ""
+                if not stop and not closed:
+                    unended.add(m["tag"].lower())
+            else:
+                inner, at = (at, len(page)), len(page)
+        elif tag in EMBEDDED and end:
+            if open_at[tag]:
+                k = open_at[tag].pop()
+                out[k] = (*out[k][:2], tag, *out[k][3:5], (out[k][1], start))
+            else:
+                tag = ""
+        elif tag in EMBEDDED:
+            if not (closed and tag == "svg"):
+                open_at[tag].append(len(out))
+            tag = ""
+        out.append((start, at, tag, end, attrs, inner))
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
@@ -54,65 +101,100 @@ def blocks_of(page: str) -> list[Block]:
     buffer: list[str] = []
     linked, links, at, in_head = 0, 0, 0, False
     path: tuple = ()
+    after: list[Block] = []  # blocks of embedded elements that come behind the block in the buffer
+    outer: list[tuple] = []  # by open embedded element: what was being read around it
 
     def flush():
         nonlocal linked, path
         text = " ".join("".join(buffer).split())
         if text:
             out.append(Block(text, path, linked))
+        out.extend(after)
         buffer.clear()
+        after.clear()
         linked, path = 0, ()
 
-    def say(raw: str):
+    def enter():
+        nonlocal out, buffer, linked, path, after
+        outer.append((len(stack), out, buffer, linked, path, after))
+        out, buffer, linked, path, after = [], [], 0, (), []
+
+    def leave():
+        """Go on with what stands around embedded elements that are no longer open."""
+        nonlocal out, buffer, linked, path, after
+        while outer and len(stack) <= outer[-1][0]:
+            flush()
+            inner = out
+            _, out, buffer, linked, path, after = outer.pop()
+            after += inner
+
+    def say(raw: str, decode: bool = True):
         nonlocal linked, path
         if raw and not in_head:
-            text = entities.unescape(raw) if "&" in raw else raw
+            text = entities.unescape(raw) if decode and "&" in raw else raw
             if not path and text.strip():
                 path = tuple(stack)
             buffer.append(text)
             if links:
                 linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
+    for start, stop, tag, end, attrs, inner in _tags(page):
+        if start < at:  # in a template
             continue
-        if not m["tag"]:
-            if m[0].startswith("<![CDATA["):
-                continue
+        say(page[at:start])
+        at = stop
+        if not tag or tag in RAW:
+            continue
+        if tag == "template" and not end and "shadowroot" not in attrs.lower():
+            at = inner[1]
             continue
-        tag = m["tag"].lower()
         if tag == "head":
-            in_head = not m["end"]
+            in_head = not end
             continue
         if tag == "body":
             in_head = False
         if tag == "br":
             say(" ")
             continue
-        if tag not in _INLINE:
+        if tag == "xmp" and inner:
+            flush()
+            stack.append(("pre", _tokens(attrs)))
+            say(page[slice(*inner)], decode=False)
+            flush()
+            stack.pop()
+            continue
+        inline = tag in _INLINE or tag in _MATH or tag in EMBEDDED
+        if not inline:
             flush()
-        if m["end"]:
+        if end:
             if any(t == tag for t, _ in stack):
                 while stack:
                     t, _ = stack.pop()
                     links -= t == "a"
                     if t == tag:
                         break
+                leave()
+                if not inline:
+                    flush()
             continue
-        if tag in _VOID:
+        if tag in _VOID or tag in ("option", "optgroup") and not any(t in EMBEDDED for t, _ in stack):
             continue
+        if tag in _MATH:
+            say(" ")
         if tag in _P_CLOSERS and any(t == "p" for t, _ in stack):
-            links -= _pop_to(stack, {"p"}, {"table", "td", "th", "button"})
+            links -= _pop_to(stack, {"p"}, {"table", "td", "th", "button"} | EMBEDDED)
         if tag in _SIBLINGS:
             own, fence = _SIBLINGS[tag]
-            links -= _pop_to(stack, set(own.split()), set(fence))
-        if m["attrs"].rstrip().endswith("/") and tag in ("path", "g"):
+            links -= _pop_to(stack, set(own.split()), set(fence) | EMBEDDED)
+        if attrs.rstrip().endswith("/") and (tag in ("path", "g", "math") or any(t in ("svg", "math") for t, _ in stack)):
             continue
-        stack.append((tag, _tokens(m["attrs"])))
+        if tag in EMBEDDED:
+            enter()
+        stack.append((tag, _tokens(attrs)))
         links += tag == "a"
     say(page[at:])
+    stack.clear()
+    leave()
     flush()
     return out
 
@@ -355,11 +437,30 @@ class _Maker:
         return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head><body>{before}{body}{after}{end}'
 
 
+    def embedded(self) -> str:
+        tag = self.pick(["svg", "select", "datalist", "object", "audio", "video", "canvas", "noscript"])
+        if tag in ("select", "datalist"):
+            body = "".join(f"<option>\x02{self.words(1, 3)}</option>" for _ in range(int(self.rng.integers(1, 5))))
+        elif tag == "svg":
+            body = "".join(f"<text>\x02{self.words(1, 3)}</text>" for _ in range(int(self.rng.integers(1, 4))))
+        else:
+            body = self.inline("\x02", 2, 14, 0.3)
+            body = f"<p>{body}</p>" if self.chance(0.5) else body
+        return f"<{tag}{self.attrs(['box', 'icon', 'media'], 0.3)}>{body}</{tag}>"
+
+    def with_embedded(self, page: str) -> str:
+        """The page with embedded elements before or in some of its paragraphs."""
+        places = [m.end() for m in re.finditer(r"(?=<(?:p|h[1-4]|ul|blockquote)\b)|<p>\x01", page)]
+        for at in sorted({self.pick(places) for _ in range(int(self.rng.integers(0, 4)))} if places else (), reverse=True):
+            page = page[:at] + self.embedded() + page[at:]
+        return page
+
+
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[list[Block], list[bool]]]:
-    """Blocks and labels of generated pages."""
-    maker, out = _Maker(seed), []
+    """Blocks and labels of generated pages; embedded elements are drawn by a generator of their own."""
+    maker, embedder, out = _Maker(seed), _Maker(seed + 1000), []
     for _ in range(n):
-        blocks = blocks_of(maker.page())
+        blocks = blocks_of(embedder.with_embedded(maker.page()))
         labels = ["\x01" in b.text for b in blocks]
         for b in blocks:
             b.text = " ".join(b.text.replace("\x01", "").replace("\x02", "").split()) or "-"
