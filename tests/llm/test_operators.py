@@ -455,6 +455,15 @@ def test_html_text_after_and_around_embedded_elements():
     assert text("<script>var x = '<p>no</p>'</script >") == whole and second not in text("<script>")
 
 
+def test_html_head_ends_where_browsers_end_it():
+    field, body = htmltext.trained(), "<article><h1>A title</h1><p>The first paragraph of this article has some words.</p></article>"
+    whole = "A title\n\nThe first paragraph of this article has some words."
+    inside = "<meta charset=utf-8><title>T</title><noscript>No <img src=x> script</noscript><style>p{}</style><template><p>x</p></template> <link rel=x>"
+    for page in ("<html><head>{}</head><body>{}</body></html>", "<html><head>{}<body>{}", "<html><head>{}{}</html>", "<head>{}<!-- c -->\n{}", "<html>{}{}"):
+        assert field.text(page.format(inside if "<head>" in page else "<title>T</title>", body)) == whole, page
+    assert [b.text for b in htmltext.blocks_of(f"<html><head>{inside}Text first<p>More")] == ["Text first", "More"]
+
+
 def test_scratch_tables_can_be_released(spark):
     materialize(spark.range(3), "gone")
     assert release(spark) >= 1

@@ -4,8 +4,9 @@ A page is cut to leaf blocks: runs of text between the starts and ends of block
 ancestors. Each block's label (main text or not) depends on features of its ancestors' tags, classes, ids and roles,
 on its text, and on its neighbours' labels. Weights are learned on pages with known labels, which a seeded generator
 lays out in many ways (`TRAINING_PAGES` of them); pages are decoded by Viterbi's algorithm. Scripts, styles, titles,
-text areas, frames, templates and the head hold no blocks. Text in embedded elements (`EMBEDDED`) makes blocks of its
-own after the paragraph it stands in, which goes on behind them.
+text areas, frames, templates and the head, which ends before the first text or tag that can't stand in it, hold no
+blocks. Text in embedded elements (`EMBEDDED`) makes blocks of its own after the paragraph it stands in, which goes on
+behind them.
 
 Defined cases: null and empty pages have no text; unclosed elements close as browsers close them, at the next block
 or at the end; embedded elements without an end tag hold nothing; character references are decoded once; white space
@@ -39,6 +40,8 @@ _ENDS = {tag: re.compile(rf"</({tag})(?=[\s/>])[^>]*+>", re.I) for tag in (*RAW,
 #: The same inside of SVG, where none of these elements reaches beyond its picture.
 _SVG_ENDS = {tag: re.compile(rf"</({tag})(?=[\s/>])[^>]*+>|</?svg(?=[\s/>])", re.I) for tag in _ENDS}
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Start tags that leave the head open.
+_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript template noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,7 +132,9 @@ def blocks_of(page: str) -> list[Block]:
             after += inner
 
     def say(raw: str, decode: bool = True):
-        nonlocal linked, path
+        nonlocal linked, path, in_head
+        if raw and in_head and not outer and raw.strip():
+            in_head = False
         if raw and not in_head:
             text = entities.unescape(raw) if decode and "&" in raw else raw
             if not path and text.strip():
@@ -143,6 +148,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         say(page[at:start])
         at = stop
+        if in_head and tag and not end and not outer and tag not in _HEAD:
+            in_head = False
         if not tag or tag in RAW:
             continue
         if tag == "template" and not end and "shadowroot" not in attrs.lower():
@@ -151,8 +158,6 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "head":
             in_head = not end
             continue
-        if tag == "body":
-            in_head = False
         if tag == "br":
             say(" ")
             continue
