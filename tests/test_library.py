@@ -169,3 +169,25 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     last = max(r[0] for r in every)
     assert closed and closed <= every
     assert {r for r in every if r[0] < last} <= closed  # only the newest window may still be open
+
+
+def slow_mmr(scores, vectors, k):
+    out = []
+    like = lambda a, b: sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items())
+    left = {i: s for i, s in scores.items() if s >= 0.01}
+    while left and len(out) < k:
+        best = max(left, key=lambda i: (round(0.7 * left[i] - 0.3 * max((like(i, j) for j, _ in out), default=0.0), 12), -i))
+        out.append((best, left.pop(best)))
+    return out
+
+
+def test_mmr_ranks_all_candidates(spark):
+    scores = {i: 1.0 for i in range(300)} | {300 + i: 0.9 - 0.01 * i for i in range(40)} | {400: 0.62, 401: 0.6, 402: 0.01, 403: 0.009}
+    vectors = {i: {"a": 0.6, "b": 0.8} for i in range(300)} | {300 + i: {"a": 0.8, f"n{i % 3}": 0.6} for i in range(40)} | {400: {"c": 1.0}, 401: {"d": 1.0}, 402: {"e": 1.0}, 403: {"f": 1.0}}
+    candidates = spark.createDataFrame(list(scores.items()), "doc_id long, score double")
+    weights = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "doc_id long, term string, weight double")
+    got = retrieval.mmr(candidates, weights, 8)
+    assert got == slow_mmr(scores, vectors, 8) and {0, 300, 400, 401} <= {i for i, _ in got}
+    few = candidates.filter("doc_id > 399")
+    assert retrieval.mmr(few, weights) == [(400, 0.62), (401, 0.6), (402, 0.01)] and retrieval.mmr(few.limit(0), weights) == []
+    assert retrieval.mmr(few, weights.limit(0)) == [(400, 0.62), (401, 0.6), (402, 0.01)]

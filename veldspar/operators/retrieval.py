@@ -111,21 +111,33 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def mmr(candidates: DataFrame, weights: DataFrame, k: int = 5, pool: int = 200) -> list[tuple[int, float]]:
-    """Greedy re-ranking by relevance less similarity to what is chosen, over at most pool candidates."""
-    rows = top(candidates, pool, FLOOR).collect()
-    ids = [r.doc_id for r in rows]
-    if not ids:
-        return []
+def mmr(candidates: DataFrame, weights: DataFrame, k: int = 5) -> list[tuple[int, float]]:
+    """Greedy re-ranking of all candidates by relevance less similarity to what is chosen.
+
+    A round takes the best of all candidates by a distributed aggregate; only the chosen rows and their vectors are gathered.
+    Worth is rounded to 12 places, so that copies tie whatever the order of sums; ties go to the smaller doc_id.
+    """
     spark = weights.sparkSession
-    vectors: dict[int, dict[str, float]] = {i: {} for i in ids}
-    for r in weights.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi").collect():
-        vectors[r.doc_id][r.term] = r.weight
-    like = lambda a, b: sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items())
-    left, out = {r.doc_id: r.score for r in rows}, []
-    while left and len(out) < k:
-        best = max(left, key=lambda i: (LAMBDA * left[i] - (1 - LAMBDA) * max((like(i, j) for j, _ in out), default=0.0), -i))
-        out.append((best, left.pop(best)))
+    left, weights = candidates.filter(F.col("score") >= FLOOR).select("doc_id", "score").persist(), weights.select("doc_id", "term", "weight")
+    held = weights.storageLevel.useMemory
+    weights.persist()
+    out: list[tuple[int, float]] = []
+    chosen: list[tuple[int, str, float]] = []
+    try:
+        while len(out) < k:
+            asked = F.broadcast(spark.createDataFrame(chosen, "chosen long, term string, held double"))
+            like = weights.join(asked, "term").groupBy("doc_id", "chosen").agg(F.sum(F.col("weight") * F.col("held")).alias("like"))
+            near = like.groupBy("doc_id").agg(F.max("like").alias("near"))
+            worth = F.round(LAMBDA * F.col("score") - (1 - LAMBDA) * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.0)), 12)
+            best = left.filter(~F.col("doc_id").isin([i for i, _ in out])).join(near, "doc_id", "left").orderBy(worth.desc(), "doc_id").first()
+            if best is None:
+                break
+            out.append((best.doc_id, best.score))
+            chosen += [(best.doc_id, r.term, r.weight) for r in weights.filter(F.col("doc_id") == best.doc_id).collect()]
+    finally:
+        left.unpersist()
+        if not held:
+            weights.unpersist()
     return out
 
 
