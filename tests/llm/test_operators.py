@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and their defined cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -397,6 +398,24 @@ def test_language_rejects_unknown_text_and_odd_rows(spark, sf_dir):
     assert languageid.keep_known(docs.limit(0)).count() == 0
 
 
+def test_language_of_fifty_languages(spark):
+    rng = np.random.default_rng(3)
+
+    def prose(letters, size=2000):
+        return "".join(rng.choice([*letters, " "], size))
+
+    alphabets = list(itertools.combinations("abcdefghijklm", 4))[::15][:47] + ["nopqrstu", "qrstuvwx", "stuvwxyz"]
+    rows = [(2 * k + i, prose(letters, 150_000), f"l{k:02d}", "s") for k, letters in enumerate(alphabets) for i in range(2)]
+    model = languageid.fit_text(documents(spark, rows))
+    odd = ["Это совсем другой язык и он неизвестен модели " * 5, prose("abcdefghijklmnopqrstuvwxyz"), "12345 --- !!!", "", None]
+    texts = [prose(letters) for letters in alphabets]
+    ll, known, _ = model.score([None if t is None else t.encode() for t in texts + odd])
+    assert len(model.languages) == 50 and known[:50].all() and not known[50:].any()
+    assert [model.languages[k] for k in ll[:50].argmax(axis=1)] == model.languages
+    two = languageid.fit_text(documents(spark, rows[:4])).score([" ".join(texts[:2]).encode()])
+    assert two[1].all()
+
+
 def test_language_fusion_uses_host_and_declaration(spark, sf_dir):
     model = languageid.fit_text(read(spark, sf_dir, "documents"))
     rows = [(k, f"http://h.example.org/fr/{k}", '<html lang="fr"><p>de la pour queeux éauxment dans avec les éiereau pour une elle</p>') for k in range(40)]

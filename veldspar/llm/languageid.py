@@ -8,7 +8,8 @@
    towards the whole corpus. A row's own share is left out of its host's.
 
 Shares for 2 to 4 are grouped sums of text posteriors over all rows. A text whose grams are likelier under a flat
-model than under the mixture of all known languages is in none of them: language `und`, not kept.
+model than under each known language and under the mixture of all is in none of them: language `und`, not kept. (The
+mixture alone would ask more of a text the more languages there are; it stands for texts in several languages.)
 
 Defined cases: null texts and texts without letters are `und` unless a declaration, address or host names a language
 with a posterior of 0.5 or more, and are never kept; null evidence is no evidence; equal posteriors go to the first
@@ -72,7 +73,7 @@ class TextModel:
         rows = np.add.reduceat(self.table.take(h, axis=0), np.stack([starts, ends], axis=1).ravel(), axis=0)[::2]
         sums = np.where(n[:, None] > 0, rows, 0.0)  # an empty range has a row of its own
         mean = sums / np.maximum(n, 1)[:, None]
-        known = (n > 0) & (mean[:, -1] > -BITS * np.log(2.0)) if self.languages else np.zeros(len(texts), bool)
+        known = (n > 0) & (mean.max(axis=1) > -BITS * np.log(2.0)) if self.languages else np.zeros(len(texts), bool)
         return mean[:, :-1] * np.minimum(n, EFFECTIVE)[:, None], known, n
 
 
