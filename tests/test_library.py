@@ -1,6 +1,7 @@
 """Rules, planner, sandbox, readers, registry and engine; queries against DuckDB on the smallest data."""
 
 import json
+import re
 import sqlite3
 
 import pytest
@@ -191,3 +192,17 @@ def test_mmr_ranks_all_candidates(spark):
     few = candidates.filter("doc_id > 399")
     assert retrieval.mmr(few, weights) == [(400, 0.62), (401, 0.6), (402, 0.01)] and retrieval.mmr(few.limit(0), weights) == []
     assert retrieval.mmr(few, weights.limit(0)) == [(400, 0.62), (401, 0.6), (402, 0.01)]
+
+
+def test_keywords_of_whole_texts(spark):
+    texts = ["“hello” she said—then the end—start…", "l'été caf\u00e9 caféteria naïve plain", "x9abc abc9 abc_def ab Ünder", "don’t “quoted”"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    want = {(i, w) for i, t in enumerate(texts) for w in re.findall(r"\b[a-z_]{3,}\b", t.lower())}
+    assert {tuple(r) for r in retrieval.keyword_index(corpus).collect()} == want and {(0, "hello"), (0, "start"), (1, "plain")} <= want
+
+
+def test_keyword_queries_read_whole_texts(spark, tmp_path):
+    from veldspar.queries import QUERIES
+
+    spark.createDataFrame([(1, "“hello” world—again")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.term for r in QUERIES["keyword_index"](spark, str(tmp_path)).collect()} == {"hello", "world", "again"}

@@ -54,8 +54,8 @@ def ngrams_to(text: Column, most: int = 3, pattern: str = r"[a-z0-9_]+") -> Colu
 
 
 def keywords(text: Column, least: int = 3) -> Column:
-    """Distinct words of least or more letters or underscores."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b([a-z_]{{{least},}})\b"), 1))
+    """Distinct words of least or more of a-z and underscores, with no letter or digit of any script at either end."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])([a-z_]{{{least},}})(?![\p{{L}}\p{{N}}_])"), 1))
 
 
 def char_grams(name: Column, n: int = 2) -> Column:

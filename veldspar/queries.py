@@ -361,17 +361,13 @@ query("bm25_topk", f"{BM} SELECT doc_id, round(score, 6) AS score FROM bm WHERE
 KW = "list_distinct(regexp_extract_all(lower(text), '\\b([a-z_]{3,})\\b', 1))"
 
 
-def _ascii(spark, sf):
-    """The corpus with words that hold other than ASCII letters blanked, on which engines agree about word boundaries."""
-    return _corpus(spark, sf).withColumn("content", F.regexp_replace("content", r"\S*[^\x00-\x7F]\S*", " "))
-
-
+#: SQL only: words that hold other than ASCII letters are blanked, as DuckDB's \b knows ASCII alone; the operators read whole texts.
 _AS = "(SELECT item_id, regexp_replace(text, '\\S*[^\\x00-\\x7F]\\S*', ' ', 'g') AS text FROM benchmark)"
-query("keyword_terms", f"SELECT item_id AS doc_id, array_to_string(list_sort({KW}), ' ') AS terms FROM {_AS}")(lambda spark, sf: _ascii(spark, sf).select("doc_id", F.array_join(F.array_sort(fx.keywords(F.col("content"))), " ").alias("terms")))
-query("keyword_index", f"SELECT item_id AS doc_id, unnest({KW}) AS term FROM {_AS}")(lambda spark, sf: retrieval.keyword_index(_ascii(spark, sf)))
+query("keyword_terms", f"SELECT item_id AS doc_id, array_to_string(list_sort({KW}), ' ') AS terms FROM {_AS}")(lambda spark, sf: _corpus(spark, sf).select("doc_id", F.array_join(F.array_sort(fx.keywords(F.col("content"))), " ").alias("terms")))
+query("keyword_index", f"SELECT item_id AS doc_id, unnest({KW}) AS term FROM {_AS}")(lambda spark, sf: retrieval.keyword_index(_corpus(spark, sf)))
 _ASKED = sorted({w for w in _QUERY.split() if len(w) >= 2})
 KWS = f"SELECT item_id AS doc_id, len(list_intersect({KW}, {_ASKED})) / {len(_ASKED)}.0 AS score FROM {_AS}"
-query("keyword_topk", f"SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score FROM ({KWS}) WHERE score > 0.01 ORDER BY score DESC, doc_id LIMIT 10")(lambda spark, sf: retrieval.top(retrieval.keyword_scores(_ascii(spark, sf), _QUERY)).select("doc_id", F.round("score", 6).alias("score")))
+query("keyword_topk", f"SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score FROM ({KWS}) WHERE score > 0.01 ORDER BY score DESC, doc_id LIMIT 10")(lambda spark, sf: retrieval.top(retrieval.keyword_scores(_corpus(spark, sf), _QUERY)).select("doc_id", F.round("score", 6).alias("score")))
 _STOPS = str(retrieval.STOP)
 _NG = lambda n: f"list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
 TFI = f"""d AS (SELECT item_id AS doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9_]{{2,}})', 1), lambda x: NOT list_contains({_STOPS}, x)) AS w FROM benchmark), z AS (SELECT doc_id, unnest(list_concat(list_concat(w, {_NG(2)}), {_NG(3)})) AS term FROM d),
@@ -391,7 +387,7 @@ _HYB = f"{BM}, {_TFI2}, {TFS}, kw AS (SELECT * FROM ({KWS}) WHERE score > 0), h
 
 def _hybrid(spark, sf):
     corpus = _corpus(spark, sf)
-    parts = [(0.40, retrieval.tfidf_scores(retrieval.tfidf_weights(corpus), _QUERY)), (0.35, retrieval.bm25_scores(corpus, _QUERY)), (0.25, retrieval.keyword_scores(_ascii(spark, sf), _QUERY))]
+    parts = [(0.40, retrieval.tfidf_scores(retrieval.tfidf_weights(corpus), _QUERY)), (0.35, retrieval.bm25_scores(corpus, _QUERY)), (0.25, retrieval.keyword_scores(_corpus(spark, sf), _QUERY))]
     return retrieval.fuse(parts)
 
 
