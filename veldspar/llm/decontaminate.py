@@ -7,11 +7,14 @@ is missed. Hits are extended to every window of WINDOW words that holds the shar
 by word with the item's. Items of fewer words are one window of their own length: every k-gram is kept for them.
 
 Only the benchmark is indexed, in blocks of bounded size that go to every worker; documents are mapped in place, so
-no document is shuffled, however many share a passage. A benchmark beyond one block takes one pass a block.
-
-Defined cases: null and empty texts, and texts without words, have no words and hits; items without words occur
-nowhere; equal items count by their ids, a null item_id is left out of the ids but its windows still hit; repeated
-rows have equal results; extra columns whose names clash with result columns are replaced.
+no document is shuffled, however many share a passage. Each block joins its fingerprints, by a sorted array, with those
+of all documents in one pass. A benchmark beyond one block takes one pass a block over the documents, which are numbered
+and written once for that; a pass leaves a row's number, hits and items, for documents that have any, and no text.
+
+Defined cases: null and empty texts, and texts without words, have no words and hits; texts of any length are searched
+whole; items without words occur nowhere; of equal hashes in a guard the rightmost is kept; equal items count by their
+ids, a null item_id is left out of the ids but its windows still hit; an empty benchmark hits nothing, an empty table has
+no results; repeated rows have equal results; extra columns whose names clash with result columns are replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, map_columns, materialize
+from .shared import as_bytes, drop_rows, map_columns, materialize, named_back, plain_names
 
 WINDOW, GRAM = 10, 5
 GUARD = WINDOW - GRAM + 1
-#: Benchmark text bytes to a block; a block is collected, indexed and sent to the workers.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text bytes to a block; a block is collected, indexed (some 30 bytes a byte while that is done) and sent to the workers.
+BLOCK_BYTES = 8 << 20
 #: Lower-cases A-Z and turns every byte that is no word byte into a space: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +77,7 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         coded = []
         for _, text in items:
-            coded.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64))
+            coded.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32))
         known = sorted({str(i) for i, _ in items if i is not None})
         rank = {name: k for k, name in enumerate(known)}
         self.item_names = known
@@ -123,7 +126,7 @@ def scan(index: Index, texts: list[bytes | None]) -> tuple[np.ndarray, list[np.n
         counts[k] = len(words)
         coded += [get(w, 0) for w in words]
         coded.append(0)  # no gram runs from one text into the next
-    ids = np.array(coded, np.int64)
+    ids = np.array(coded, np.int32)
     starts = np.cumsum(counts + 1) - counts - 1
     hit = np.zeros(len(ids) + 1, np.int64)
     found_at, found_item = [], []
@@ -179,38 +182,50 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[D
 _RAW = T.StructType([T.StructField("_vs_words", T.LongType()), T.StructField("_vs_hit", T.ArrayType(T.LongType())), T.StructField("_vs_items", T.ArrayType(T.StringType()))])
 
 
-def _masked(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, block_bytes: int, keep: list[str]) -> DataFrame:
-    """The kept columns with _vs_words, _vs_hit and _vs_items, one pass a block; masks of several blocks are united on the way."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    out = docs
-    for k, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in block.toLocalIterator()]))
+def _one_pass(docs: DataFrame, block: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The kept columns with _vs_words, _vs_hit and _vs_items of one block of the benchmark; a map without a shuffle."""
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in block.toLocalIterator()]))
+
+    def make():
+        def f(part: pa.RecordBatch) -> dict:
+            of = index.value
+            counts, words, items = scan(of, as_bytes(part.column(part.schema.get_field_index(text))))
+            held = [[of.item_names[i] for i in x] for x in items]
+            return {"_vs_words": pa.array(counts), "_vs_hit": pa.array([x.tolist() for x in words], pa.list_(pa.int64())), "_vs_items": pa.array([sorted(x) for x in held], pa.list_(pa.string()))}
+
+        return f
 
-        def make(index=index):
-            def f(part: pa.RecordBatch) -> dict:
-                of = index.value
-                counts, words, items = scan(of, as_bytes(part.column(part.schema.get_field_index(text))))
-                hits, held = [x.tolist() for x in words], [[of.item_names[i] for i in x] for x in items]
-                if "_vs_hit" in part.schema.names:
-                    hits = [sorted({*a, *b}) for a, b in zip(hits, part.column("_vs_hit").to_pylist())]
-                    held = [[*a, *b] for a, b in zip(held, part.column("_vs_items").to_pylist())]
-                return {"_vs_words": pa.array(counts), "_vs_hit": pa.array(hits, pa.list_(pa.int64())), "_vs_items": pa.array([sorted({*x}) for x in held], pa.list_(pa.string()))}
+    return map_columns(docs, make, _RAW, [text], keep)
 
-            return f
 
-        last = k == len(blocks) - 1
-        out = map_columns(out, make, _RAW, [text], keep if last else [*{*keep, text}])
-        if not last:
-            out = materialize(out, "decontaminate")
-    return out
+def _passes(held: DataFrame, blocks: list[DataFrame], text: str) -> DataFrame:
+    """row, _vs_hit and _vs_items, over all blocks, of the rows of a written table that have a hit."""
+    narrow = None
+    for block in blocks:
+        one = materialize(_one_pass(held.select("row", text), block, text, ["row"]).filter(F.size("_vs_hit") > 0).select("row", "_vs_hit", "_vs_items"), "decontaminate-pass")
+        narrow = one if narrow is None else narrow.unionByName(one)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return narrow.groupBy("row").agg(united("_vs_hit"), united("_vs_items"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-documents")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words, hit_words (positions of hit words), items (sorted ids) and contaminated."""
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "hit_words", "items", "contaminated")]
-    out = _masked(docs, benchmark, text, item_id, item_text, block_bytes, names)
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("_vs_words").alias("n_words"), F.col("_vs_hit").alias("hit_words"), F.col("_vs_items").alias("items"), (F.size("_vs_hit") > 0).alias("contaminated"))
+    stay = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "hit_words", "items", "contaminated")]
+    plain, names = plain_names(docs)
+    own, blocks = [names[c] for c in stay], _blocks(benchmark, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        out = _one_pass(plain, blocks[0], names[text], own)
+    else:
+        held = _numbered(plain.select(*{*own, names[text]}))
+        hits = _passes(held, blocks, names[text])
+        counted = _one_pass(held, blocks[0].limit(0), names[text], [*own, "row"]).drop("_vs_hit", "_vs_items")
+        none = F.array().cast("array<long>"), F.array().cast("array<string>")
+        out = counted.join(hits, "row", "left").withColumns({"_vs_hit": F.coalesce("_vs_hit", none[0]), "_vs_items": F.coalesce("_vs_items", none[1])})
+    return out.select(*[F.col(names[c]).alias(c) for c in stay], F.col("_vs_words").alias("n_words"), F.col("_vs_hit").alias("hit_words"), F.col("_vs_items").alias("items"), (F.size("_vs_hit") > 0).alias("contaminated"))
 
 
 def digest(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -223,5 +238,9 @@ def digest(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold a window of an item."""
-    out = _masked(docs, benchmark, text, item_id, item_text, block_bytes, docs.columns)
-    return out.filter(F.size("_vs_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = plain_names(docs)
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        return named_back(_one_pass(plain, blocks[0], names[text], plain.columns).filter(F.size("_vs_hit") == 0), names)
+    held = _numbered(plain)
+    return named_back(drop_rows(held, materialize(_passes(held, blocks, names[text]).select("row"), "decontaminate-hits"), "row"), names)

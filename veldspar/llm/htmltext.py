@@ -8,16 +8,21 @@ text areas, frames, templates and the head, which ends before the first text or
 blocks. Text in embedded elements (`EMBEDDED`) makes blocks of its own after the paragraph it stands in, which goes on
 behind them.
 
-Defined cases: null and empty pages have no text; unclosed elements close as browsers close them, at the next block
-or at the end; embedded elements without an end tag hold nothing; character references are decoded once; white space
-inside a block, breaks included, becomes one space; empty blocks go; repeated rows have equal results; extra columns
-stay out of the result.
+Open elements are nodes that know their parent and the features that they add to it, so time and memory grow with the
+page and not with its depth.
+
+Defined cases: null and empty pages have no text; pages of any length and depth are read whole; unclosed elements close
+as browsers close them, at the next block or at the end; embedded elements without an end tag hold nothing; character
+references are decoded once; white space inside a block, breaks included, becomes one space; empty blocks go; a block
+whose labels score alike is no main text; repeated rows have equal results; an empty table has none; extra columns stay
+out of the result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,14 +51,67 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
-_SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_P_FENCE = frozenset("table td th button".split()) | EMBEDDED
+#: Elements that close earlier ones of their kind: (those, what stands between).
+_SIBLINGS = {
+    tag: (tuple(own.split()), frozenset(fence.split()) | EMBEDDED)
+    for tag, own, fence in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))
+}
+_SECTIONS = frozenset("article main nav header footer aside form section body div table figure blockquote dialog menu".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+class Node:
+    """An open element: its tag, its parent, and what it tells about the blocks in it."""
+
+    __slots__ = ("leaf", "main", "near", "new", "tag", "tokens", "up")
+
+    def __init__(self, tag: str, tokens: tuple[str, ...], up: Node | None, new: list[str]):
+        self.tag, self.tokens, self.up, self.new = tag, tokens, up, new
+        self.near = (tag, tokens) if tag in _SECTIONS else up.near if up else ("body", ())
+        self.leaf = tag if tag not in _INLINE else up.leaf if up else "body"
+        self.main = tag in ("article", "main") or up is not None and up.main
+
+
+class Stack:
+    """Open elements, and where those of each tag stand."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.tokens: Counter[str] = Counter()
+
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        new = [] if self.at[tag] else [f"in:{tag}"]
+        for w in tokens:
+            if not self.tokens[w]:
+                new.append(f"token:{w}")
+            self.tokens[w] += 1
+        self.at[tag].append(len(self.nodes))
+        self.nodes.append(Node(tag, tokens, self.nodes[-1] if self.nodes else None, new))
+
+    def cut(self, size: int) -> None:
+        """Close all but the outermost elements."""
+        while len(self.nodes) > size:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for w in node.tokens:
+                self.tokens[w] -= 1
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of any of the tags stands; -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, tags, fence) -> None:
+        """Close the innermost element of the tags, with all in it, unless a fence stands in between."""
+        if (k := self.last(tags)) > self.last(fence):
+            self.cut(k)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple  # ((tag, tokens), ...) from the root
+    node: Node | None  # the innermost element that it began in
     link_chars: int
 
 
@@ -100,47 +158,47 @@ def _tags(page: str) -> list[tuple[int, int, str, bool, str, tuple[int, int] | N
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     buffer: list[str] = []
-    linked, links, at, in_head = 0, 0, 0, False
-    path: tuple = ()
+    linked, at, in_head, begun = 0, 0, False, False
+    node: Node | None = None
     after: list[Block] = []  # blocks of embedded elements that come behind the block in the buffer
     outer: list[tuple] = []  # by open embedded element: what was being read around it
 
     def flush():
-        nonlocal linked, path
+        nonlocal linked, node, begun
         text = " ".join("".join(buffer).split())
         if text:
-            out.append(Block(text, path, linked))
+            out.append(Block(text, node, linked))
         out.extend(after)
         buffer.clear()
         after.clear()
-        linked, path = 0, ()
+        linked, node, begun = 0, None, False
 
     def enter():
-        nonlocal out, buffer, linked, path, after
-        outer.append((len(stack), out, buffer, linked, path, after))
-        out, buffer, linked, path, after = [], [], 0, (), []
+        nonlocal out, buffer, linked, node, begun, after
+        outer.append((len(stack.nodes), out, buffer, linked, node, begun, after))
+        out, buffer, linked, node, begun, after = [], [], 0, None, False, []
 
     def leave():
         """Go on with what stands around embedded elements that are no longer open."""
-        nonlocal out, buffer, linked, path, after
-        while outer and len(stack) <= outer[-1][0]:
+        nonlocal out, buffer, linked, node, begun, after
+        while outer and len(stack.nodes) <= outer[-1][0]:
             flush()
             inner = out
-            _, out, buffer, linked, path, after = outer.pop()
+            _, out, buffer, linked, node, begun, after = outer.pop()
             after += inner
 
     def say(raw: str, decode: bool = True):
-        nonlocal linked, path, in_head
+        nonlocal linked, node, begun, in_head
         if raw and in_head and not outer and raw.strip():
             in_head = False
         if raw and not in_head:
             text = entities.unescape(raw) if decode and "&" in raw else raw
-            if not path and text.strip():
-                path = tuple(stack)
+            if not begun and text.strip():
+                node, begun = stack.nodes[-1] if stack.nodes else None, True
             buffer.append(text)
-            if links:
+            if stack.at["a"]:
                 linked += len(text.strip())
 
     for start, stop, tag, end, attrs, inner in _tags(page):
@@ -163,59 +221,41 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "xmp" and inner:
             flush()
-            stack.append(("pre", _tokens(attrs)))
+            stack.push("pre", _tokens(attrs))
             say(page[slice(*inner)], decode=False)
             flush()
-            stack.pop()
+            stack.cut(len(stack.nodes) - 1)
             continue
         inline = tag in _INLINE or tag in _MATH or tag in EMBEDDED
         if not inline:
             flush()
         if end:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
+            if stack.at.get(tag):
+                stack.cut(stack.at[tag][-1])
                 leave()
                 if not inline:
                     flush()
             continue
-        if tag in _VOID or tag in ("option", "optgroup") and not any(t in EMBEDDED for t, _ in stack):
+        if tag in _VOID or tag in ("option", "optgroup") and stack.last(EMBEDDED) < 0:
             continue
         if tag in _MATH:
             say(" ")
-        if tag in _P_CLOSERS and any(t == "p" for t, _ in stack):
-            links -= _pop_to(stack, {"p"}, {"table", "td", "th", "button"} | EMBEDDED)
+        if tag in _P_CLOSERS:
+            stack.close(("p",), _P_FENCE)
         if tag in _SIBLINGS:
-            own, fence = _SIBLINGS[tag]
-            links -= _pop_to(stack, set(own.split()), set(fence) | EMBEDDED)
-        if attrs.rstrip().endswith("/") and (tag in ("path", "g", "math") or any(t in ("svg", "math") for t, _ in stack)):
+            stack.close(*_SIBLINGS[tag])
+        if attrs.rstrip().endswith("/") and (tag in ("path", "g", "math") or stack.last(("svg", "math")) >= 0):
             continue
         if tag in EMBEDDED:
             enter()
-        stack.append((tag, _tokens(attrs)))
-        links += tag == "a"
+        stack.push(tag, _tokens(attrs))
     say(page[at:])
-    stack.clear()
+    stack.cut(0)
     leave()
     flush()
     return out
 
 
-def _pop_to(stack: list, tags: set, fence: set) -> int:
-    """Close the outermost open element of tags above the fence; returns the links closed with it."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in fence:
-            break
-        if stack[k][0] in tags:
-            closed = sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
-            return closed
-    return 0
-
-
 @lru_cache(4096)
 def _tokens(attrs: str) -> tuple[str, ...]:
     if "=" not in attrs and "hidden" not in attrs.lower():
@@ -232,33 +272,32 @@ def _tokens(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-_SECTIONS = frozenset("article main nav header footer aside form section body div table figure blockquote dialog menu".split())
+def own_features(b: Block, k: int, n: int) -> list[str]:
+    """Feature names of the k-th of n blocks, without those of its ancestors."""
+    section, tokens = b.node.near if b.node else ("body", ())
+    f = ["bias", f"near:{section}", *[f"near-token:{w}" for w in tokens], f"leaf:{b.node.leaf if b.node else 'body'}"]
+    if b.node and b.node.main:
+        f.append("within-main")
+    words, size = b.text.count(" ") + 1, len(b.text)
+    f.append(f"words:{min(6, words.bit_length())}")
+    density = b.link_chars / size
+    f.append("links:" + ("none" if density == 0 else "some" if density < 0.5 else "most"))
+    if b.text[-1] in ".!?…:;\"":
+        f.append("ends")
+    if "©" in b.text:
+        f.append("copyright")
+    f.append(f"place:{min(3, 4 * k // n)}")
+    return f
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
     for k, b in enumerate(blocks):
-        f = ["bias"]
-        tags = [t for t, _ in b.path]
-        f += [f"in:{t}" for t in set(tags)]
-        f += [f"token:{w}" for w in {w for _, tokens in b.path for w in tokens}]
-        near = next(((t, w) for t, w in reversed(b.path) if t in _SECTIONS), ("body", ()))
-        f.append(f"near:{near[0]}")
-        f += [f"near-token:{w}" for w in near[1]]
-        leaf = next((t for t in reversed(tags) if t not in _INLINE), "body")
-        f.append(f"leaf:{leaf}")
-        if "article" in tags or "main" in tags:
-            f.append("within-main")
-        words, size = b.text.count(" ") + 1, len(b.text)
-        f.append(f"words:{min(6, words.bit_length())}")
-        density = b.link_chars / size
-        f.append("links:" + ("none" if density == 0 else "some" if density < 0.5 else "most"))
-        if b.text[-1] in ".!?…:;\"":
-            f.append("ends")
-        if "©" in b.text:
-            f.append("copyright")
-        f.append(f"place:{min(3, 4 * k // len(blocks))}")
+        f, node = own_features(b, k, len(blocks)), b.node
+        while node is not None:
+            f += node.new
+            node = node.up
         out.append(f)
     return out
 
@@ -275,7 +314,21 @@ class Field:
         if not blocks:
             return []
         get, pairs = self.weights.get, self.pairs.tolist()
-        scores = [sum(get(x, 0.0) for x in f) for f in features(blocks)]
+        told: dict[Node | None, float] = {None: 0.0}
+
+        def ancestors(node: Node | None) -> float:
+            """The sum of the weights of a node and all above it, each of which is summed once a page."""
+            path = []
+            while node not in told:
+                path.append(node)
+                node = node.up
+            total = told[node]
+            for x in reversed(path):
+                total += sum(get(f, 0.0) for f in x.new)
+                told[x] = total
+            return total
+
+        scores = [ancestors(b.node) + sum(get(x, 0.0) for x in own_features(b, k, len(blocks))) for k, b in enumerate(blocks)]
         other, main, back = 0.0, scores[0], []
         for s in scores[1:]:
             o = (other + pairs[0][0], main + pairs[1][0])
@@ -387,7 +440,7 @@ class _Maker:
             body += f"<ul>{items}</ul>"
         if kind != "links":
             for _ in range(int(self.rng.integers(1, 4))):
-                t = self.pick(["p", "p", "div", "h3", "span", ""])
+                t = self.pick(["p", "p", "div", "h2", "h3", "span", ""])
                 text = self.inline("\x02", 2, 40)
                 body += f"<{t}>{text}</{t}>" if t else text
         if tag == "form" or self.chance(0.05):
@@ -421,7 +474,7 @@ class _Maker:
         if inner and self.chance(0.15):
             inner = [f"<header>{inner[0]}</header>"]
         inner += [self.good() for _ in range(int(rng.integers(0 if self.chance(0.1) else 1, 12)))]
-        for _ in range(int(rng.integers(0, 3)) if self.chance(0.6) else 0):
+        for _ in range(int(rng.integers(1, 4)) if self.chance(0.6) else 0):
             inner.insert(int(rng.integers(len(inner) + 1)), self.bad("article"))
         if self.chance(0.2):
             inner[:] = [x.replace("<p>", "<p><b>", 1) if x.startswith("<p>") and k == 1 else x for k, x in enumerate(inner)]

@@ -3,22 +3,26 @@
 1. Text: naive Bayes over hashed 4-byte grams of whole texts, learned from a bounded sample of labelled documents.
    The mean log-likelihood of a gram counts as EFFECTIVE grams at most, for neighbouring grams aren't independent.
 2. Declared markup language: how often each language declares each value.
-3. Address suffix: the host's last label, and a language-like first path segment.
-4. Host prior: language shares of a host, smoothed towards its registered domain, that towards its suffix, and that
-   towards the whole corpus. A row's own share is left out of its host's.
+3. Address: the host's suffix (its last label), and a language-like first path segment.
+4. Host prior: language shares of a host, smoothed towards its registered domain, and that towards the whole corpus.
 
-Shares for 2 to 4 are grouped sums of text posteriors over all rows. A text whose grams are likelier under a flat
-model than under each known language and under the mixture of all is in none of them: language `und`, not kept. (The
-mixture alone would ask more of a text the more languages there are; it stands for texts in several languages.)
+Shares for 2 to 4 are grouped sums of text posteriors over all rows, from each of which a row's own posterior is taken
+out before the row is judged by them, so that no row confirms itself. Each kind of evidence counts once: the suffix is
+no level of the prior. A text whose grams are likelier under a flat model than under each known language and under the
+mixture of all is in none of them: language `und`, not kept. (The mixture alone would ask more of a text the more
+languages there are; it stands for texts in several languages.) The `MOST_LANGUAGES` languages of most labelled rows
+are known; those are the columns of the model.
 
 Defined cases: null texts and texts without letters are `und` unless a declaration, address or host names a language
-with a posterior of 0.5 or more, and are never kept; null evidence is no evidence; equal posteriors go to the first
-language in code-point order; repeated rows count as often as they occur; with no labelled rows everything is `und`;
-extra columns whose names clash with result columns are replaced.
+with a posterior of 0.5 or more, and are never kept; texts of any length are scored whole; null evidence is no evidence;
+a port is no part of a host; equal posteriors go to the first language in code-point order, as do equal numbers of
+labelled rows; repeated rows count as often as they occur; with no labelled rows everything is `und`; an empty table
+has no results; extra columns whose names clash with result columns are replaced.
 """
 
 from __future__ import annotations
 
+import html as entities
 import re
 from dataclasses import dataclass
 
@@ -28,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, bounded_sample, checked_broadcast, map_columns, materialize, without
+from .shared import as_bytes, bounded_sample, drop_rows, lookup, map_columns, materialize, named_back, plain_names, without
 
 BITS, GRAM, ALPHA = 16, 4, 0.5
 EFFECTIVE = 40.0
 #: Labelled documents of each language that the text model is fitted on, about.
 SAMPLE_ROWS = 400
+#: Languages of the model; a corpus may have labels in any number of languages.
+MOST_LANGUAGES = 100
 #: Pseudo-rows of each parent level in a host prior, and of each cell in the declaration and address tables.
 SMOOTHING, CELL = 5.0, 0.5
 UND = "und"
@@ -77,10 +83,12 @@ class TextModel:
         return mean[:, :-1] * np.minimum(n, EFFECTIVE)[:, None], known, n
 
 
-def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> TextModel:
+def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> TextModel:
     """Gram counts a language over a bounded sample of labelled rows, summed on the executors; the table's size is fixed."""
     tag = F.lower(F.trim(F.col(language)))
-    sample = bounded_sample(labelled.filter(F.col(text).isNotNull() & (tag != "")), tag, F.col(key), rows).select(tag.alias("lang"), F.col(text).alias("text"))
+    told = labelled.filter(F.col(text).isNotNull() & (tag != ""))
+    counts = {r[0]: r[1] for r in told.groupBy(tag.alias("s")).count().orderBy(F.desc("count"), "s").limit(most_languages).collect()}
+    sample = bounded_sample(told, tag, F.col(key), rows, counts).select(tag.alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -107,6 +115,12 @@ def fit_text(labelled: DataFrame, text: str = "text", language: str = "lang", ke
     return TextModel(languages, np.log(np.concatenate([p, mixture])).T.astype(np.float32).copy())
 
 
+def _text_of(page: bytes) -> bytes:
+    """A page's text without tags, character references decoded."""
+    text = _MARKUP.sub(b" ", page)
+    return entities.unescape(text.decode("utf-8", "replace")).encode() if b"&" in text else text
+
+
 _ADDED = T.StructType([T.StructField("_vs_ll", T.ArrayType(T.DoubleType())), T.StructField("_vs_known", T.BooleanType()), T.StructField("_vs_grams", T.LongType())])
 
 
@@ -118,7 +132,7 @@ def with_text_evidence(df: DataFrame, model: TextModel, text: str = "text", keep
         def f(part: pa.RecordBatch) -> dict:
             texts = as_bytes(part.column(part.schema.get_field_index(text)))
             if markup:
-                texts = [t and _MARKUP.sub(b" ", t) for t in texts]
+                texts = [t and _text_of(t) for t in texts]
             ll, known, n = held.value.score(texts)
             return {"_vs_ll": pa.array(ll.tolist(), pa.list_(pa.float64())), "_vs_known": pa.array(known), "_vs_grams": pa.array(n, pa.int64())}
 
@@ -135,8 +149,8 @@ def primary(tag: Column) -> Column:
 def with_address(df: DataFrame, declared: Column, host: Column, path: Column | None = None, domain: bool = True) -> DataFrame:
     """df with the evidence keys _vs_declared, _vs_host, _vs_domain, _vs_suffix and _vs_segment. domain: the host has dots."""
     null = F.lit(None).cast("string")
-    host = F.nullif(F.lower(host), F.lit(""))
-    suffix = F.nullif(F.substring_index(F.regexp_replace(host, r":\d+$", ""), ".", -1), F.lit("")) if domain else null
+    host = F.nullif(F.regexp_replace(F.lower(host), r":\d*$", "") if domain else F.lower(host), F.lit(""))
+    suffix = F.nullif(F.substring_index(host, ".", -1), F.lit("")) if domain else null
     return df.withColumns({
         "_vs_declared": primary(declared), "_vs_host": host,
         "_vs_domain": F.substring_index(host, ".", -2) if domain else null, "_vs_suffix": suffix,
@@ -160,21 +174,15 @@ def _items(array: str, n: int) -> list[Column]:
     return [F.element_at(array, k + 1) for k in range(n)]
 
 
-def _sums(df: DataFrame, key: str | None, n: int, name: str) -> DataFrame:
-    many = [F.sum(f"_vs_p{k}").alias(f"p{k}") for k in range(n)]
-    out = (df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")) if key else df.groupBy(F.lit("").alias("k"))).agg(*many)
-    return out.select("k", F.array(*[F.col(f"p{k}") for k in range(n)]).alias(name))
-
-
-def _shares(own: Column, parent: Column) -> Column:
-    """Shares of own counts, smoothed by SMOOTHING pseudo-rows of the parent's shares."""
-    total = F.aggregate(own, F.lit(SMOOTHING), lambda a, b: a + b)
-    return F.zip_with(own, parent, lambda x, p: (x + SMOOTHING * p) / total)
+def _sums(df: DataFrame, key: str, n: int) -> DataFrame:
+    """k and s, the sums of the posteriors of each value of a key; written, for it is read often."""
+    out = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(*[F.sum(f"_vs_p{k}").alias(f"p{k}") for k in range(n)])
+    return materialize(out.select("k", F.array(*[F.col(f"p{k}") for k in range(n)]).alias("s")), "language-sums")
 
 
 @dataclass
 class Evidence:
-    """Grouped sums of text posteriors: by declared value, suffix, segment, and the host hierarchy; the overall shares."""
+    """Grouped sums of text posteriors (columns k and s) by declared value, suffix and segment; by host, with those of its domain as d; and over all rows."""
 
     declared: DataFrame
     suffix: DataFrame
@@ -188,46 +196,48 @@ def gather(scored: DataFrame, n: int) -> Evidence:
     narrow = scored.select("_vs_known", "_vs_declared", "_vs_host", "_vs_domain", "_vs_suffix", "_vs_segment", *[x.alias(f"_vs_l{k}") for k, x in enumerate(_items("_vs_ll", n))])
     own = _posterior([F.col(f"_vs_l{k}") for k in range(n)])
     narrow = narrow.withColumns({f"_vs_p{k}": F.when(F.col("_vs_known"), x).otherwise(0.0) for k, x in enumerate(own)})
-    total = _sums(narrow, None, n, "s").select("s").first()
-    raw = np.array(total[0] if total and total[0] and total[0][0] is not None else [0.0] * n) + 1.0
-    overall = (raw / raw.sum()).tolist()
-    base = F.array(*[F.lit(float(x)) for x in overall])
-    suffix = _sums(narrow, "_vs_suffix", n, "n_suffix")
-    hosts = _sums(narrow, "_vs_host", n, "n_host").withColumn("domain", F.substring_index("k", ".", -2)).withColumn("suffix", F.substring_index("k", ".", -1))
-    up = _sums(narrow, "_vs_domain", n, "n_domain").withColumnRenamed("k", "domain").join(suffix.withColumnRenamed("k", "suffix"), F.substring_index("domain", ".", -1) == F.col("suffix"), "left")
-    up = up.select("domain", _shares(F.col("n_domain"), F.coalesce(_shares(F.col("n_suffix"), base), base)).alias("parent"))
-    hosts = hosts.join(up, "domain", "left").select("k", "n_host", F.coalesce("parent", base).alias("parent"))
-    return Evidence(_sums(narrow, "_vs_declared", n, "s"), suffix.withColumnRenamed("n_suffix", "s"), _sums(narrow, "_vs_segment", n, "s"), hosts, overall)
-
-
-def _cells(table: DataFrame, overall: list[float], name: str) -> DataFrame:
-    """log P(value | language) of each value, from the posterior sums; all languages smoothed alike."""
-    n = len(overall)
-    rows = table.count()
-    totals = table.agg(*[F.sum(F.element_at("s", k + 1)).alias(f"t{k}") for k in range(n)]).first() if rows else [0.0] * n
-    out = table.select("k", F.array(*[F.log((F.element_at("s", k + 1) + CELL) / F.lit((totals[k] or 0.0) + CELL * (rows + 1))) for k in range(n)]).alias(name))
-    return checked_broadcast(out.withColumnRenamed("k", f"k{name}"), rows)
-
-
-def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
-    """scored with language, confidence (its posterior), known (by text) and kept; internal columns are gone."""
+    total = narrow.agg(*[F.coalesce(F.sum(f"_vs_p{k}"), F.lit(0.0)) for k in range(n)]).first()
+    none = F.array(*[F.lit(0.0)] * n)
+    hosts, domains = _sums(narrow, "_vs_host", n), _sums(narrow, "_vs_domain", n)
+    above = materialize(hosts.withColumn("domain", F.substring_index("k", ".", -2)), "language-hosts")
+    above = lookup(above, domains.select(F.col("k").alias("domain"), F.col("s").alias("d")), "domain").select("k", "s", F.coalesce("d", none).alias("d"))
+    return Evidence(_sums(narrow, "_vs_declared", n), _sums(narrow, "_vs_suffix", n), _sums(narrow, "_vs_segment", n), materialize(above, "language-hosts"), [float(x) for x in total])
+
+
+def fuse(scored: DataFrame, model: TextModel, evidence: Evidence | None) -> DataFrame:
+    """scored, a written table, with language, confidence (its posterior), known (by text) and kept; internal columns are gone."""
     n = len(model.languages)
     columns = [c for c in scored.columns if not c.startswith("_vs_") and c.lower() not in RESULT]
-    if not n:
+    if not n or evidence is None:
         return scored.select(*[F.col(f"`{c}`") for c in columns], F.lit(UND).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("known"), F.lit(False).alias("kept"))
-    out = without(scored, *RESULT)
+    out, languages, totals, cells = without(scored, *RESULT), range(n), {}, {}
     for key, table in (("declared", evidence.declared), ("suffix", evidence.suffix), ("segment", evidence.segment)):
-        out = out.join(_cells(table, evidence.overall, f"_vs_e_{key}"), F.col(f"_vs_{key}") == F.col(f"k_vs_e_{key}"), "left")
-    hosts = evidence.host.select(F.col("k").alias("_vs_k_host"), F.col("n_host").alias("_vs_n_host"), F.col("parent").alias("_vs_parent"))
-    out = out.join(checked_broadcast(hosts), F.col("_vs_host") == F.col("_vs_k_host"), "left")
-    languages = range(n)
+        got = table.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.element_at("s", k + 1)), F.lit(0.0)).alias(f"t{k}") for k in languages]).first()
+        totals[key], cells[key] = [float(x) for x in got[1:]], got[0] + 1
+        out = lookup(out, table.select(F.col("k").alias(f"_vs_{key}"), F.col("s").alias(f"_vs_n_{key}")), f"_vs_{key}")
+    out = lookup(out, evidence.host.select(F.col("k").alias("_vs_host"), F.col("s").alias("_vs_n_host"), F.col("d").alias("_vs_n_domain")), "_vs_host")
     out = out.withColumns({f"_vs_l{k}": x for k, x in enumerate(_items("_vs_ll", n))})
-    own = _posterior([F.col(f"_vs_l{k}") for k in languages])
-    others = {f"_vs_o{k}": F.greatest(F.element_at("_vs_n_host", k + 1) - F.when(F.col("_vs_known"), own[k]).otherwise(0.0), F.lit(0.0)) for k in languages}
-    out = out.withColumns({c: F.when(F.col("_vs_n_host").isNotNull(), x) for c, x in others.items()})
-    total = sum((F.col(f"_vs_o{k}") for k in languages), F.lit(SMOOTHING))
-    prior = [F.coalesce((F.col(f"_vs_o{k}") + SMOOTHING * F.element_at("_vs_parent", k + 1)) / total, F.lit(float(evidence.overall[k]))) for k in languages]
-    told = [sum((F.coalesce(F.element_at(f"_vs_e_{key}", k + 1), F.lit(0.0)) for key in ("declared", "suffix", "segment")), F.lit(0.0)) for k in languages]
+    out = out.withColumns({f"_vs_own{k}": F.when(F.col("_vs_known"), x).otherwise(0.0) for k, x in enumerate(_posterior([F.col(f"_vs_l{k}") for k in languages]))})
+    own = [F.col(f"_vs_own{k}") for k in languages]
+
+    def others(name: str, k: int) -> Column:
+        """The sum of a value's rows for a language, without this row; null where the row has no such value."""
+        return F.when(F.col(name).isNotNull(), F.greatest(F.element_at(name, k + 1) - own[k], F.lit(0.0)))
+
+    def summed(xs: list[Column]) -> Column:
+        return sum(xs[1:], xs[0])
+
+    # whole corpus, domain, host: each level's shares are smoothed by those of the level above
+    all_rows = sum(evidence.overall)
+    taken = summed(own)
+    base = [(F.lit(evidence.overall[k] + 1.0) - own[k]) / (F.lit(all_rows + n) - taken) for k in languages]
+    domain = _smoothed([others("_vs_n_domain", k) for k in languages], base)
+    prior = _smoothed([others("_vs_n_host", k) for k in languages], [F.coalesce(d, b) for d, b in zip(domain, base)])
+    prior = [F.coalesce(p, b) for p, b in zip(prior, base)]
+    told = [F.lit(0.0)] * n
+    for key in totals:
+        chance = [F.log((others(f"_vs_n_{key}", k) + CELL) / (F.lit(totals[key][k] + CELL * cells[key]) - own[k])) for k in languages]
+        told = [t + F.coalesce(c, F.lit(0.0)) for t, c in zip(told, chance)]
     out = out.withColumns({f"_vs_s{k}": F.col(f"_vs_l{k}") + F.log(prior[k]) + told[k] for k in languages})
     out = out.withColumns({f"_vs_f{k}": x for k, x in enumerate(_posterior([F.col(f"_vs_s{k}") for k in languages]))})
     out = out.withColumn("confidence", _most([F.col(f"_vs_f{k}") for k in languages]))
@@ -238,6 +248,12 @@ def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in columns], F.when(named, best).otherwise(F.lit(UND)).alias("language"), "confidence", F.col("_vs_known").alias("known"), (named & F.col("_vs_known")).alias("kept"))
 
 
+def _smoothed(own: list[Column], parent: list[Column]) -> list[Column]:
+    """Shares of own sums, smoothed by SMOOTHING pseudo-rows of the parent's shares; null where own sums are."""
+    total = sum(own, F.lit(SMOOTHING))
+    return [(x + SMOOTHING * p) / total for x, p in zip(own, parent)]
+
+
 def address_of_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Evidence keys of web pages: the html tag's lang attribute, host and path of the URL."""
     declared = F.regexp_extract(F.col(html), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z][a-z0-9_-]*)", 1)
@@ -252,15 +268,18 @@ def address_of_documents(docs: DataFrame, source: str = "source") -> DataFrame:
 
 
 def keep_known(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs whose language is one of those that labelled documents have; texts are scored once for the evidence and once in passing, and none is written or shuffled."""
+    """docs whose language is one of those that labelled documents have.
+
+    Texts are read and scored once and written with their scores and a row number; what is judged after that is narrow,
+    and only the numbers of rejected rows meet the texts again.
+    """
     model = fit_text(docs, text, language, key)
-    columns = docs.columns
     if not model.languages:
         return docs.limit(0)
-    narrow = address_of_documents(docs.select(text, source), source)
-    evidence = gather(materialize(with_text_evidence(narrow, model, text, [c for c in narrow.columns if c.startswith("_vs_")]), "language-evidence"), len(model.languages))
-    scored = with_text_evidence(address_of_documents(docs, source), model, text)
-    renamed = scored.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *[c for c in scored.columns if c.startswith("_vs_")])
-    fused = fuse(renamed, model, evidence)
-    # Pushed through the projections of fuse, the filter would repeat their expressions; a column that isn't deterministic holds it above them.
-    return fused.withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0)).filter("kept").select("doc.*")
+    plain, names = plain_names(docs)
+    scored = with_text_evidence(address_of_documents(plain.withColumn("row", F.monotonically_increasing_id()), names[source]), model, names[text])
+    held = materialize(scored, "language-documents")
+    narrow = held.select("row", *[c for c in held.columns if c.startswith("_vs_")])
+    # written before it is filtered: pushed through the projections of fuse, a filter would repeat their expressions
+    judged = materialize(fuse(narrow, model, gather(narrow, len(model.languages))).select("row", "kept"), "language-judged")
+    return named_back(drop_rows(held, judged.filter(~F.col("kept")), "row"), names)

@@ -1,16 +1,20 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Statistics of every whole text feed simple rules (a statistic above or below a cutoff). On a bounded sample of half of
-the labelled documents, cutoffs are ranked greedily by the bad documents they newly reject less ten times the good
-ones. The other half of all labelled rows certifies them: per stratum (language), the ranked rules are tried in that
-order, and a prefix of them is accepted while an exact binomial test shows, for all rules of the prefix together, that
-good documents are rejected at a rate below `ALPHA`. Strata share the error probability `DELTA` by Bonferroni; within
-a stratum the order is fixed beforehand and testing stops at the first failure, so no further correction is needed.
-A stratum with too few labelled documents accepts no rule.
-
-Defined cases: null and empty texts have no words and fail the base rule; a null stratum is one of its own; documents
-with contradicting labels don't count as labelled; with no labels at all only the base rule rejects; repeated rows
-have equal results; extra columns whose names clash with result columns are replaced.
+Statistics of every whole text feed simple rules (a statistic above or below a cutoff). Trials are distinct labelled
+texts: a repeated document id counts once, and so does a text under several ids, within its stratum (language). Half of
+the texts, by a hash of the text, so that copies never lie on both sides, ranks cutoffs (on a bounded sample) greedily by
+the bad documents that they newly reject less ten times the good ones. All texts of the other half certify them: per
+stratum, the ranked rules are tried in that order, and a prefix of them is accepted while an exact binomial test shows,
+for all rules of the prefix together, that good texts are rejected at a rate below `ALPHA`. Strata share the error
+probability `DELTA` by Bonferroni; within a stratum the order is fixed beforehand and testing stops at the first
+failure, so no further correction is needed. A stratum with too few labelled texts accepts no rule. The `MOST_STRATA`
+strata of most good trials are certified each; if there are more, all others are one stratum, certified as a whole.
+
+Defined cases: null and empty texts have no words and fail the base rule; texts of any length are counted whole; a null
+stratum is one of its own; documents with contradicting labels, and texts that have both labels in a stratum, are no
+trials; of a repeated id with several texts the one of the smallest hash is; ties between cutoffs go to the rule that
+stands first and its highest cutoff; with no labels at all only the base rule rejects; repeated rows have equal results;
+an empty table has none; extra columns whose names clash with result columns are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WHITE, as_bytes, bounded_sample, map_columns, materialize
+from .shared import WHITE, as_bytes, bounded_sample, map_columns, materialize, named_back, plain_names
 
 ALPHA, DELTA, STEPS = 0.05, 0.05, 12
+#: Strata that are certified apart; all others are one.
+MOST_STRATA = 64
 #: Labelled documents of each label that rank the cutoffs, about.
 TUNE_ROWS = 4000
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -139,12 +145,18 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return total
 
 
+def _stratum_key(stratum: Column) -> Column:
+    """Never null: a null stratum has a key that no value has."""
+    return F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("null"))
+
+
 @dataclass
 class Policy:
-    """Ranked (rule, cutoff) pairs and, by stratum, how many of them are certified."""
+    """Ranked (rule, cutoff) pairs; how many of them are certified by stratum key, and for all other strata."""
 
     ranked: list[tuple[int, float]]
-    accepted: dict[str | None, int]
+    accepted: dict[str, int]
+    others: int = 0
 
     def first_failure(self, prefix: str = "") -> Column:
         """1 for the first ranked rule that a document fails, and so on; null if it fails none."""
@@ -159,12 +171,27 @@ class Policy:
 
     def kept(self, stratum: Column, prefix: str = "") -> Column:
         """Base rule and certified rules; a stratum without labels has none."""
-        limit = F.lit(0)
-        for value, steps in self.accepted.items():
-            limit = F.when(stratum.isNull() if value is None else stratum.eqNullSafe(F.lit(value)), F.lit(steps)).otherwise(limit)
+        limit = F.lit(self.others)
+        if self.accepted:
+            known = F.create_map(*[F.lit(x) for pair in self.accepted.items() for x in pair])
+            limit = F.coalesce(F.try_element_at(known, _stratum_key(stratum)), limit)
         return ~base_failed(prefix) & F.coalesce(self.first_failure(prefix) > limit, F.lit(True))
 
 
+def certify(tallies: dict[str, dict[int, int]], steps: int, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """By stratum, how many rules of the ranked ones are accepted. tallies: good trials by the first rule that rejects them (0: none does)."""
+    out = {}
+    for stratum, tally in tallies.items():
+        n, rejected, accepted = sum(tally.values()), 0, 0
+        for step in range(1, steps + 1):
+            rejected += tally.get(step, 0)
+            if binomial_tail(rejected, n, alpha) > delta / len(tallies):
+                break
+            accepted = step
+        out[stratum] = accepted
+    return out
+
+
 def rank_rules(rows: pd.DataFrame, steps: int = STEPS) -> list[tuple[int, float]]:
     """Greedy (rule, cutoff) pairs by newly rejected bad documents less ten times newly rejected good ones."""
     rows = rows[rows["n_words"] > 0]
@@ -192,26 +219,31 @@ def rank_rules(rows: pd.DataFrame, steps: int = STEPS) -> list[tuple[int, float]
     return out
 
 
-def fit(labelled: DataFrame, stratum: str, id_column: str, prefix: str = "", alpha: float = ALPHA, delta: float = DELTA, tune_rows: int = TUNE_ROWS) -> Policy:
-    """The certified policy. labelled: id, stratum, quality (0 or 1) and the counts, read twice."""
-    fold = F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(2))
-    usable = labelled.filter(F.col("quality").isin(0, 1) & ~base_failed(prefix)).withColumn("_vs_fold", fold)
-    tune = bounded_sample(usable.filter("_vs_fold = 0"), F.col("quality").cast("string"), F.col(id_column), tune_rows)
+def trials(labelled: DataFrame, stratum: str, id_column: str, text_hash: str, prefix: str = "") -> DataFrame:
+    """One row a stratum and distinct text: _vs_s (the stratum's key), quality, the counts, and _vs_fold (0 ranks, 1 certifies)."""
+    counts = [prefix + c for c in COUNTS + _MORE]
+    usable = labelled.filter(F.col("quality").isin(0, 1) & ~base_failed(prefix))
+    one = usable.groupBy(id_column).agg(F.min(F.struct(F.col(text_hash), _stratum_key(F.col(stratum)).alias("_vs_s"), "quality", *counts)).alias("t")).select("t.*")
+    texts = one.groupBy("_vs_s", text_hash).agg(F.min("quality").alias("quality"), F.max("quality").alias("_vs_most"), *[F.min(c).alias(c) for c in counts])
+    return texts.filter("quality = _vs_most").withColumn("_vs_fold", F.pmod(F.col(text_hash), F.lit(2))).drop("_vs_most")
+
+
+def fit(labelled: DataFrame, stratum: str, id_column: str, text_hash: str, prefix: str = "", alpha: float = ALPHA, delta: float = DELTA, tune_rows: int = TUNE_ROWS, most_strata: int = MOST_STRATA) -> Policy:
+    """The certified policy. labelled: id, stratum, text hash, quality (0 or 1) and the counts."""
+    usable = materialize(trials(labelled, stratum, id_column, text_hash, prefix), "quality-trials")
+    tune = bounded_sample(usable.filter("_vs_fold = 0"), F.col("quality").cast("string"), F.col(text_hash), tune_rows)
     rows = tune.select("quality", *[F.col(prefix + c).alias(c) for c in COUNTS + _MORE]).toArrow().to_pandas()
     ranked = rank_rules(rows) if len(rows) else []
     policy = Policy(ranked, {})
     test = usable.filter("_vs_fold = 1 and quality = 1")
-    tallies: dict[str | None, dict[int, int]] = {}
-    for s, step, n in test.groupBy(F.col(stratum).alias("s"), policy.first_failure(prefix).alias("step")).count().collect():
+    largest = [r[0] for r in test.groupBy("_vs_s").count().orderBy(F.desc("count"), "_vs_s").limit(most_strata + 1).collect()]
+    own, pooled = largest[:most_strata], len(largest) > most_strata
+    name = F.when(F.col("_vs_s").isin(own), F.col("_vs_s")).otherwise("*") if pooled else F.col("_vs_s")
+    tallies: dict[str, dict[int, int]] = {}
+    for s, step, n in test.groupBy(name.alias("s"), policy.first_failure(prefix).alias("step")).count().collect():
         tallies.setdefault(s, {})[step or 0] = n
-    for s, tally in tallies.items():
-        n, rejected, steps = sum(tally.values()), 0, 0
-        for step in range(1, len(ranked) + 1):
-            rejected += tally.get(step, 0)
-            if binomial_tail(rejected, n, alpha) > delta / len(tallies):
-                break
-            steps = step
-        policy.accepted[s] = steps
+    policy.accepted = certify(tallies, len(ranked), alpha, delta)
+    policy.others = policy.accepted.pop("*", 0)
     return policy
 
 
@@ -221,18 +253,25 @@ def clear_labels(labels: DataFrame, id_column: str = "doc_id", label: str = "qua
     return one.filter("lo = hi").select(id_column, F.col("lo").cast("int").alias(label))
 
 
+def _counted(docs: DataFrame, text: str, keep: list[str], prefix: str, tag: str) -> DataFrame:
+    """The kept columns with counts and the text's hash, written: texts are counted once."""
+    name = prefix + "text_hash"
+    return materialize(with_counts(docs.withColumn(name, F.xxhash64(F.col(text))), text, [*keep, name], prefix), tag)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """One row per document: its id, counts, base_failed, kept, and the first ranked rule that it fails."""
-    counted = materialize(with_counts(docs.select(id_column, text, F.col(stratum).alias("_vs_stratum")), text, [id_column, "_vs_stratum"]), "quality-counts")
-    policy = fit(counted.join(clear_labels(labels, id_column), id_column), "_vs_stratum", id_column)
+    counted = _counted(docs.select(id_column, text, F.col(stratum).alias("_vs_stratum")), text, [id_column, "_vs_stratum"], "_vs_", "quality-counts")
+    policy = fit(counted.join(clear_labels(labels, id_column), id_column), "_vs_stratum", id_column, "_vs_text_hash", "_vs_")
     failing = F.array(*[F.lit(RULES[r][0]) for r, _ in policy.ranked]) if policy.ranked else F.array(F.lit(None).cast("string"))
-    step = policy.first_failure()
-    return counted.select(id_column, *COUNTS, base_failed().alias("base_failed"), policy.kept(F.col("_vs_stratum")).alias("kept"), F.when(step.isNotNull(), F.element_at(failing, step)).alias("failed_rule"))
+    step = policy.first_failure("_vs_")
+    return counted.select(id_column, *[F.col("_vs_" + c).alias(c) for c in COUNTS], base_failed("_vs_").alias("base_failed"), policy.kept(F.col("_vs_stratum"), "_vs_").alias("kept"), F.when(step.isNotNull(), F.element_at(failing, step)).alias("failed_rule"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without those that the base rule or a certified rule rejects; texts are counted once for the fit and once in passing, and none is shuffled."""
-    counted = materialize(with_counts(docs.select(id_column, text, F.col(stratum).alias("_vs_stratum")), text, [id_column, "_vs_stratum"]), "quality-counts")
-    policy = fit(counted.join(clear_labels(labels, id_column), id_column), "_vs_stratum", id_column)
-    passed = with_counts(docs, text, prefix="_vs_").filter(policy.kept(F.col(stratum), "_vs_"))
-    return passed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that the base rule or a certified rule rejects; texts are read and counted once, written with their counts, and not shuffled."""
+    plain, names = plain_names(docs)
+    counted = _counted(plain, names[text], plain.columns, "_vs_", "quality-documents")
+    narrow = counted.select(F.col(names[id_column]).alias(id_column), F.col(names[stratum]).alias("_vs_stratum"), *[c for c in counted.columns if c.startswith("_vs_")])
+    policy = fit(narrow.join(clear_labels(labels, id_column), id_column), "_vs_stratum", id_column, "_vs_text_hash", "_vs_")
+    return named_back(counted.filter(policy.kept(F.col(names[stratum]), "_vs_")), names)

@@ -36,9 +36,9 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score(docs.select("doc_id", "text", "source", "lang"), model, keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    features = materialize(cotraining.with_features(docs, keep=["doc_id"]), "cotraining-features")
+    return cotraining.score(features, cotraining.fit(features, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, materialize(urlfilter.listed_hosts(pages), "urls-block-list"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

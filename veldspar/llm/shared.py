@@ -1,66 +1,88 @@
-"""What the operators of this subpackage share: scratch tables, Arrow maps that pass rows through, size-checked broadcasts and bounded samples of labelled rows."""
+"""What the operators of this subpackage share: Arrow maps that pass rows through, joins that hot keys don't gather in one task, prefix sums in ranges, and bounded samples of labelled rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import BROADCAST_BYTES, bytes_of, checked_broadcast, materialize, release, scratch_path, tables_made
+
+__all__ = [
+    "BROADCAST_BYTES", "LOWER", "WHITE", "WORD", "as_bytes", "bounded_sample", "bytes_of", "checked_broadcast", "drop_rows", "hash_uniform", "lookup", "map_columns", "materialize",
+    "named_back", "plain_names", "ranged", "release", "running", "scratch_path", "slices", "tables_made", "without",
+]
+
 #: Text bytes that one call of a mapped function gets at most (a longer single row comes alone).
 SLICE_BYTES = 2 << 20
-#: Rows that a broadcast side may have at most; every broadcast in this subpackage is of narrow rows.
-BROADCAST_ROWS = 200_000
+#: Rows of one key above which a shuffled join treats the key apart.
+HOT_ROWS = 100_000
 
-_made: list[str] = []
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named c0, c1 and so on, and the new name of each: a caller's names can't clash with internal ones."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veldspar-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: lineage ends there and lost executors cost nothing that was written."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/veldspar-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that have one of these names in any case: results replace extra columns whose names clash."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
-def release(spark: SparkSession) -> int:
-    """Delete the scratch tables made so far. Call it once no result that reads them is needed."""
-    jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with the columns of table, which has one row a key; how: left or inner. Both are read several times: written tables.
 
-def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; else as it is, for a shuffled join that splits hot keys."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    A table of few bytes is broadcast. For a larger one only keys of more than hot_rows rows are, of which there are at
+    most a hot_rows-th of the rows; the rest meet by a shuffle, in which no key has more rows than that.
+    """
+    if bytes_of(table) <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    keyed, absent = rows.filter(F.col(key).isNotNull()), rows.filter(F.col(key).isNull())
+    hot = materialize(keyed.groupBy(key).count().filter(F.col("count") > hot_rows).select(key), "hot-keys")
+    few = F.broadcast(hot)
+    apart = keyed.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    others = keyed.join(few, key, "left_anti").join(table.join(few, key, "left_anti"), key, how)
+    met = apart.unionByName(others)
+    return met.unionByName(absent, allowMissingColumns=True) if how == "left" else met
 
 
-def names_lower(df: DataFrame) -> set[str]:
-    return {c.lower() for c in df.columns}
+def drop_rows(held: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """held, a written table, without the rows of gone, a written table of the unique column row.
 
+    The numbers of the dropped rows are broadcast if they have few bytes; else rows meet by a shuffle on their unique number.
+    """
+    return held.join(checked_broadcast(gone.select(row)), row, "left_anti")
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that have one of these names in any case: results replace extra columns whose names clash."""
-    gone = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+def ranged(df: DataFrame, order: list[Column], tag: str, name: str = "range") -> DataFrame:
+    """df dealt to tasks by ranges of order, and written, with the number of the row's range: numbers rise with the order, and equal rows share one."""
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), tag)
+
+
+def running(table: DataFrame, sums: dict[str, Column], order: list[Column], by: list[str], name: str = "range") -> DataFrame:
+    """A ranged table with running sums, the row itself and its peers included, of the columns named by sums, within groups of by.
+
+    Two levels: sums within a group and range, and sums of the ranges ahead. The second level has a row for each range
+    of a group, as many at most as the shuffle has partitions.
+    """
+    within = Window.partitionBy(*by, name).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow) if len(order) == 1 else Window.partitionBy(*by, name).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = table.groupBy(*by, name).agg(*[F.sum(c).alias(f"{n}_s") for n, c in sums.items()])
+    ranges = ranges.select(*by, name, *[F.coalesce(F.sum(f"{n}_s").over(ahead), F.lit(0)).alias(f"{n}_a") for n in sums])
+    inside = table.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
+    met = inside.join(checked_broadcast(materialize(ranges, "ranges-ahead")), [*by, name])
+    return met.withColumns({n: F.col(n) + F.col(f"{n}_a") for n in sums}).drop(*[f"{n}_a" for n in sums])
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -72,7 +94,7 @@ def slices(batch: pa.RecordBatch, measured: list[str], limit: int = SLICE_BYTES)
     """Parts of a batch whose measured columns hold about limit bytes at most."""
     if not batch.num_rows:
         return
-    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0), dtype=np.int64) for c in measured) + 16
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0), dtype=np.int64) for c in measured) + np.full(batch.num_rows, 16)
     at, ends = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
@@ -111,7 +133,7 @@ def bounded_sample(df: DataFrame, stratum: Column, key: Column, per_stratum: int
     """About per_stratum rows of each stratum, or all where there are fewer, chosen by a hash of key.
 
     Rates come from a count of each stratum over all rows, so the sample's size doesn't grow with the input and
-    no rows are shuffled but the counts.
+    no rows are shuffled but the counts. Strata that counts lacks give no rows.
     """
     if counts is None:
         counts = {r[0]: r[1] for r in df.groupBy(stratum.alias("s")).count().collect()}

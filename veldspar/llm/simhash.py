@@ -4,12 +4,16 @@ A fingerprint has 64 bits. Two texts link if theirs differ in at most `radius` b
 agrees on at least (blocks - radius) of `blocks` bit blocks, so rows are grouped by each such choice of blocks and
 compared within groups only; no pair is missed. Within a group the fingerprints' bits are stored as vertical planes,
 64 candidates to a machine word; distances are counted by carry-save adders, and words in which every candidate is
-beyond the radius are abandoned. Groups above `tile` rows are split into chunks and compared chunk against chunk.
-Each group gives the edges of a spanning forest, and components are found by contraction over those edges.
+beyond the radius are abandoned. A group of more than `tile` fingerprints is grouped anew, by choices of blocks of the
+bits that it doesn't agree on yet, which again miss no pair; what is still larger after that is split into chunks that
+are compared chunk against chunk. Each group gives the edges of a spanning forest, and components are found by
+contraction over those edges. Only distinct fingerprints are compared, and only those that have a link or several rows
+are looked up again; the many rows of one fingerprint or component meet it by a broadcast, never in one task.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint 0 and link like any other; a text of
-fewer words than a shingle is one shingle; equal rows have equal results; null ids never become a component's id
-(a component of null ids only has a null id); extra columns stay out of the result.
+fewer words than a shingle is one shingle, and texts of any length are hashed whole; a bit set in exactly half of the
+hashes is not set; equal rows have equal results; null ids never become a component's id (a component of null ids only
+has a null id); an empty table has no components; extra columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, as_bytes, checked_broadcast, map_columns, materialize
+from .shared import LOWER, as_bytes, checked_broadcast, drop_rows, lookup, map_columns, materialize, named_back, plain_names
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-#: Rows of a group that are compared in one task; above it a group is split into chunks.
+#: Rows of a group that are compared in one task; above it a group is formed anew by finer blocks, and then split into chunks.
 TILE = 2048
+#: Blocks of a large group's free bits beyond the radius: pairs agree on that many of them.
+FINER = 2
 #: Mean rows of a group above which more, narrower groups are formed.
 MEAN_GROUP = 1024
 _QUERIES, _LANES = 256, 1 << 14
@@ -162,12 +168,28 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _cut(bits: list[int], blocks: int) -> list[int]:
+    """Masks of consecutive parts of some bits."""
+    at = [round(len(bits) * k / blocks) for k in range(blocks + 1)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(at, at[1:])]
+
+
 def _masks(blocks: int, radius: int) -> list[int]:
-    """Bit masks of every choice of (blocks - radius) blocks, as signed longs."""
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(parts, blocks - radius)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    """Bit masks of every choice of (blocks - radius) blocks."""
+    return [sum(c) for c in combinations(_cut(list(range(64)), blocks), blocks - radius)]
+
+
+def _finer(mask: int, radius: int, agreed: int = FINER) -> list[int]:
+    """Masks of every choice of agreed blocks among radius + agreed blocks of the bits that mask leaves free.
+
+    Two fingerprints within the radius that agree under mask differ in at most radius of these blocks, so they agree on
+    one of the choices at least.
+    """
+    return [sum(c) for c in combinations(_cut([b for b in range(64) if not mask >> b & 1], radius + agreed), agreed)]
 
 
 def blocks_for(n: int, radius: int = RADIUS, mean_group: int = MEAN_GROUP) -> int:
@@ -181,31 +203,51 @@ def blocks_for(n: int, radius: int = RADIUS, mean_group: int = MEAN_GROUP) -> in
 def near_edges(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, rows: int | None = None, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) of spanning forests over all groups of distinct fingerprints (column fp) that share a choice of blocks."""
     masks = _masks(blocks or blocks_for(fps.count() if rows is None else rows, radius), radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
-    hot = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("t", "key", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("chunks"))
-    hot = materialize(hot, "simhash-hot")
-    if n_hot := hot.count():
-        dealt = keyed.join(checked_broadcast(hot, n_hot), ["t", "key"], "left")
-        chunk = F.pmod(F.xxhash64("fp", "t"), F.col("chunks")).cast("int")
-        dealt = dealt.withColumn("c", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(chunk)).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        dealt = dealt.select("t", "key", "fp", "c", other.alias("o"))
-        dealt = dealt.select("t", "key", (F.least("c", "o") * 65536 + F.greatest("c", "o")).cast("long").alias("tile"), "fp")
+    literal = lambda ms: F.array(*[F.lit(_signed(m)).cast("long") for m in ms])
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("t", "key"))
+    keyed = keyed.select(F.col("t").cast("long").alias("t"), "key", F.lit(0).cast("long").alias("key2"), "fp")
+
+    def hot_groups(of: DataFrame) -> DataFrame:
+        sizes = of.groupBy("t", "key", "key2").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+        return materialize(sizes.select("t", "key", "key2", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("chunks")), "simhash-hot")
+
+    def apart(of: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of groups that aren't hot, and of those that are, of which there are few."""
+        few = checked_broadcast(hot)
+        return of.join(few, ["t", "key", "key2"], "left_anti"), of.join(few, ["t", "key", "key2"])
+
+    dealt = keyed
+    hot = hot_groups(keyed)
+    if not hot.isEmpty():
+        dealt, large = apart(keyed, hot)
+        choices = F.array(*[literal(_finer(m, radius)) for m in masks])
+        finer = large.select("t", "key", "fp", F.posexplode(F.transform(F.element_at(choices, F.col("t").cast("int") + 1), lambda m: F.col("fp").bitwiseAND(m))).alias("t2", "key2"))
+        finer = finer.select((F.col("t") * 1024 + F.col("t2") + 1).cast("long").alias("t"), F.xxhash64("key", "t2").alias("key"), "key2", "fp")
+        still = hot_groups(finer)
+        dealt = dealt.withColumn("tile", F.lit(0).cast("long"))
+        if still.isEmpty():
+            dealt = dealt.unionByName(finer.withColumn("tile", F.lit(0).cast("long")))
+        else:
+            small, large = apart(finer, still)
+            own = F.pmod(F.xxhash64("fp", "t"), F.col("chunks")).cast("int")
+            large = large.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            large = large.withColumn("tile", (1 + F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o")).cast("long"))
+            dealt = dealt.unionByName(small.withColumn("tile", F.lit(0).cast("long"))).unionByName(large.select(*dealt.columns))
     else:
-        dealt = keyed.select("t", "key", F.lit(0).cast("long").alias("tile"), "fp")
+        dealt = dealt.withColumn("tile", F.lit(0).cast("long"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
 
         def flush(final: bool):
             nonlocal kept, size
-            cols = [np.concatenate([k[c] for k in kept]) for c in range(4)]
-            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            cols = [np.concatenate([k[c] for k in kept]) for c in range(5)]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             cut = len(cols[0]) if final else (int(change[-1]) if len(change) else 0)
             group = np.zeros(len(cols[0]), np.int64)
             group[change] = 1
             group = np.cumsum(group)[:cut]
-            fp = cols[3][:cut]
+            fp = cols[4][:cut]
             kept, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
             if cut:
                 root = forest(cut, close_pairs(fp.view(np.uint64), group, radius))
@@ -215,15 +257,15 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, rows: int
 
         for batch in batches:
             if batch.num_rows:
-                kept.append([np.asarray(batch.column(c)) for c in range(4)])
+                kept.append([np.asarray(batch.column(c)) for c in range(5)])
                 size += batch.num_rows
                 if size >= 1 << 16 and (out := flush(False)) is not None:
                     yield out
         if size and (out := flush(True)) is not None:
             yield out
 
-    sides = dealt.repartition("t", "key", "tile").sortWithinPartitions("t", "key", "tile")
-    return sides.select("t", "key", "tile", "fp").mapInArrow(compare, "u long, v long")
+    group = ["t", "key", "key2", "tile"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).select(*group, "fp").mapInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -235,8 +277,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """
 
     def pointed(up: DataFrame, at: DataFrame) -> DataFrame:
-        further = checked_broadcast(at.select(F.col("node").alias("root"), F.col("root").alias("top")))
-        return up.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        further = at.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return lookup(up, further, "root").select("node", F.coalesce("top", "root").alias("root"))
 
     spark = edges.sparkSession
     edges = materialize(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), tag)
@@ -250,9 +292,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
                 break
             up = materialize(pointed(up, moving), tag)
         steps.append(up)
-        small = checked_broadcast(up)
-        edges = edges.join(small.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(small.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-        edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), tag)
+        half = lookup(edges, up.select(F.col("node").alias("u"), F.col("root").alias("a")), "u", "inner")
+        half = lookup(half, up.select(F.col("node").alias("v"), F.col("root").alias("b")), "v", "inner")
+        edges = materialize(half.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), tag)
     if not steps:
         return spark.createDataFrame([], "node long, root long")
     found = steps[-1]
@@ -262,27 +304,35 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 
 def link(narrow: DataFrame, id_column: str = "doc_id", radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint in narrow, which has the columns fp and id_column."""
-    fps = materialize(narrow.groupBy("fp").agg(F.min(id_column).alias("least_id")), "simhash-fps")
+    """fp, root and component_id of every fingerprint that has a link or several rows in narrow, a written table of fp and id_column.
+
+    The rows of any other fingerprint are components of their own.
+    """
+    fps = materialize(narrow.groupBy("fp").agg(F.min(id_column).alias("least_id"), F.count("*").alias("n")), "simhash-fps")
     found = components(near_edges(fps.select("fp"), radius, tile, blocks=blocks), "simhash-cc").withColumnRenamed("node", "fp")
-    linked = fps.join(checked_broadcast(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # only groups of several fingerprints need the smallest id of the group
-    top = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return linked.join(top, "root").select("fp", "root", "component_id")
+    linked = materialize(fps.join(checked_broadcast(found), "fp").select("fp", "root", "least_id"), "simhash-linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
+    copies = fps.filter("n > 1").join(checked_broadcast(found.select("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
+    return materialize(lookup(linked, least, "root", "inner").select("fp", "root", "component_id").unionByName(copies), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, its fingerprint as 16 hex digits and the smallest id that it reaches over links."""
-    narrow = materialize(with_fingerprints(docs.select(id_column, text), text, [id_column]), "simhash-docs")
-    classes = link(narrow, id_column)
-    return narrow.join(classes, "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    narrow = materialize(with_fingerprints(rows, "text", ["id"]), "simhash-docs")
+    classes = link(narrow, "id").select("fp", "component_id")
+    return lookup(narrow, classes, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: the first row that has the group's smallest id."""
-    columns = docs.columns
-    held = materialize(with_fingerprints(docs.withColumn("_vs_row", F.monotonically_increasing_id()), text, name="_vs_fp"), "simhash-rows")
-    narrow = held.select(F.col("_vs_row").alias("row"), F.col(id_column).alias("id"), F.col("_vs_fp").alias("fp"))
-    classes = link(narrow, "id")
-    first = narrow.join(classes, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("_vs_row"))
-    return held.join(first.select("_vs_row"), "_vs_row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    """docs with one row of each group of near-duplicates: the first row that has the group's smallest id.
+
+    Texts are hashed once and written with a row number; only the numbers of dropped rows meet them again.
+    """
+    plain, names = plain_names(docs)
+    held = materialize(with_fingerprints(plain.withColumn("row", F.monotonically_increasing_id()), names[text]), "simhash-rows")
+    narrow = held.select("row", F.col(names[id_column]).alias("id"), "fp")
+    grouped = materialize(lookup(narrow, link(narrow, "id"), "fp", "inner"), "simhash-grouped")
+    first = grouped.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row"))
+    gone = materialize(grouped.select("row").join(first.select("row"), "row", "left_anti"), "simhash-dropped")
+    return named_back(drop_rows(held, gone, "row"), names)

@@ -1,22 +1,28 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as a word vector (hashed table) and a character vector (the mean of hashed vectors of its 3- and
-5-grams, with word fences), each with the class log-odds of the word or gram over the training documents, shrunk by
-two standard errors. Two gated recurrent layers read a window of `WINDOW` words in both directions; attention pools
-their states; a logistic unit scores the window. All overlapping windows of a whole text are scored, and the highest
-score is the document's.
-
-Training windows of toxic documents are the ones that the network, or at first the log-odds, finds most toxic; all
-windows of clean documents are clean. The labelled sample is bounded (`POSITIVE`, `NEGATIVE` documents) and holds only
-documents whose crc32(id) mod 5 is not 0.
-
-Defined cases: null and empty texts, and texts without letters, get the score of an empty window; null ids aren't
-held out; documents with contradicting labels don't train; without labels of both kinds every score is 0; repeated
-rows have equal results; extra columns stay out of the result.
+Each word enters as a word vector (a hashed table) and a character vector (the mean of hashed vectors of its 3- and
+5-grams, with word fences); both tables start at random and are learned with the rest. Two gated recurrent layers read
+a window of `WINDOW` words in both directions; attention pools their states; a logistic unit scores the window. All
+overlapping windows of a whole text are scored, and the highest score is the document's.
+
+Training is multiple-instance: a document's label says that one of its windows at least is toxic, not which. In the
+first `WARM` epochs every window of a toxic document counts as toxic with the document's weight shared among them;
+after that only the window that the network finds most toxic does, against the clean windows that look most toxic to
+it and others at random. There is no word list and no other statistic of words.
+
+What is learned from is bounded: `POSITIVE` and `NEGATIVE` labelled documents, whose crc32(id) mod 5 is not 0, and of
+each `WINDOWS_A_DOC` windows of up to `WINDOW_BYTES` bytes, which the executors cut and pick.
+
+Defined cases: null and empty texts, and texts without words, get the score of an empty window; texts of any length
+are scored whole, a word of more than `WORD_BYTES` bytes enters as several; null ids aren't held out; a repeated id
+teaches once, with the smallest of its texts; documents with contradicting labels don't train; without labels of both
+kinds every score is 0; equal texts have equal scores, which ties among windows don't change; an empty table has no
+scores; extra columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
 from itertools import chain, count
@@ -27,53 +33,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .languageid import _TABLE
 from .quality import clear_labels
 from .shared import as_bytes, bounded_sample, map_columns
 
 WINDOW, STRIDE = 64, 52
 POSITIVE, NEGATIVE = 1200, 1600
-HIDDEN, WORD_DIMS, CHAR_DIMS, ATTENTION = 8, 6, 8, 8
-_ODDS_BITS, _WORD_BITS, _CHAR_BITS = 18, 13, 14
-_DIMS = WORD_DIMS + CHAR_DIMS + 4
+WINDOWS_A_DOC, WINDOW_BYTES, WORD_BYTES = 24, 2048, 64
+HIDDEN, WORD_DIMS, CHAR_DIMS, ATTENTION = 8, 8, 8, 8
+_WORD_BITS, _CHAR_BITS = 15, 15
+_DIMS = WORD_DIMS + CHAR_DIMS
 #: Sizes of character grams.
 GRAMS = (3, 5)
-FOLDS, EPOCHS, BATCH, LEAST_STEPS = 5, 4, 128, 130
+FOLDS, EPOCHS, WARM, BATCH, LEAST_STEPS = 5, 12, 3, 192, 400
+#: Windows to one of a single repeated word in training.
+ECHOES = 6
+_INNER = b"#$%&*@+-_|'<>=~^/\\"
+#: A-Z to lower case; letters, digits, signs that stand in for letters and bytes from 128 up stay, the rest parts words.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c in _INNER else 32 for c in range(256))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_TABLE).split()
+    words = (text or b"").translate(_TABLE).split()
+    if words and max(map(len, words)) > WORD_BYTES:
+        words = [w[a : a + WORD_BYTES] for w in words for a in range(0, len(w), WORD_BYTES)]
+    return words
 
 
-def _hash(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(len(at), n, np.uint64)
-    for k in range(n):
-        h = (h ^ data[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+#: Powers of an odd number: a word's hash is a polynomial in it, whose terms are summed at once for all words.
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(WORD_BYTES + 8, 0xD6E8FEB86659FD93, np.uint64)])
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Word hashes; for each size in GRAMS, gram hashes and the words that they belong to, in order; words are fenced by < and >."""
-    joined = b"".join(b"<" + w + b">" for w in words)
-    data = np.frombuffer(joined, np.uint8)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    """Word hashes; for each size in GRAMS, gram hashes and the words that they belong to, in order; words lose signs at their ends and are fenced by < and >."""
+    fenced = [b"<" + (w.strip(_INNER) or w) + b">" for w in words]
+    data = np.frombuffer(b"".join(fenced), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, fenced), np.int64, len(fenced))
+    owner = np.repeat(np.arange(len(fenced), dtype=np.int64), sizes)
     ends = np.cumsum(sizes)
     room = ends[owner] - np.arange(len(data))
     grams = []
     for n in GRAMS:
         at = np.flatnonzero(room >= n)
-        grams.append((_hash(data, at, n), owner[at]))
-    whole = np.zeros(len(words), np.uint64)
-    starts, step = ends - sizes, 0
-    live = np.arange(len(words))
-    while len(live):
-        whole[live] = (whole[live] ^ data[starts[live] + step].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        whole[live] ^= whole[live] >> np.uint64(31)
-        step += 1
-        live = live[sizes[live] > step]
-    return whole, grams
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _POWERS[1] + data[at + k]
+        grams.append((_mixed(h), owner[at]))
+    whole = np.add.reduceat((data + np.uint64(1)) * _POWERS[room], ends - sizes) if len(fenced) else np.zeros(0, np.uint64)
+    return _mixed(whole), grams
 
 
 def windows(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[tuple[int, int]]:
@@ -100,45 +111,34 @@ def _gates(x):
 class Network:
     """Weights; every table is float32."""
 
-    odds_word: np.ndarray
-    odds_char: np.ndarray
     word: np.ndarray
     char: np.ndarray
     dense: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def start(cls, odds_word: np.ndarray, odds_char: np.ndarray, seed: int = 1) -> Network:
+    def start(cls, seed: int = 1) -> Network:
         rng = np.random.default_rng(seed)
         h = HIDDEN
         dense = {
             "in": _unit(rng, _DIMS, 6 * h), "in0": np.zeros(6 * h, np.float32), "uf": _unit(rng, h, 3 * h), "ub": _unit(rng, h, 3 * h),
             "a": _unit(rng, 2 * h, ATTENTION), "a0": np.zeros(ATTENTION, np.float32), "v": _unit(rng, ATTENTION), "w": _unit(rng, 2 * h), "b": np.full(1, -1.0, np.float32),
         }
-        return cls(odds_word, odds_char, _unit(rng, 1 << _WORD_BITS, WORD_DIMS, scale=0.05), _unit(rng, 1 << _CHAR_BITS, CHAR_DIMS, scale=0.05), dense)
-
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words."""
-        whole, grams = spell(words)
-        n = np.maximum(sum(np.bincount(of, minlength=len(words)) for _, of in grams), 1).astype(np.float32)
-        chars, top, mean = np.zeros((len(words), CHAR_DIMS), np.float32), np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
-        cells = []
+        return cls(_unit(rng, 1 << _WORD_BITS, WORD_DIMS, scale=0.02), _unit(rng, 1 << _CHAR_BITS, CHAR_DIMS, scale=0.2), dense)
+
+    def inputs(self, spelled: tuple) -> tuple[np.ndarray, tuple]:
+        """Input vectors of spelled words."""
+        whole, grams = spelled
+        n = np.maximum(sum(np.bincount(of, minlength=len(whole)) for _, of in grams), 1).astype(np.float32)
+        chars, cells = np.zeros((len(whole), CHAR_DIMS), np.float32), []
         for hashes, of in grams:
             cell = (hashes & np.uint64((1 << _CHAR_BITS) - 1)).astype(np.int64)
             cells.append((cell, of))
-            if not len(of):
-                continue
-            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            has = of[starts]
-            odds = self.odds_char[(hashes >> np.uint64(64 - _ODDS_BITS)).astype(np.int64)]
-            chars[has] += np.add.reduceat(self.char[cell], starts, axis=0)
-            top[has] = np.maximum(top[has], np.maximum.reduceat(odds, starts))
-            mean[has] += np.add.reduceat(odds, starts)
+            if len(of):
+                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                chars[of[starts]] += np.add.reduceat(self.char[cell], starts, axis=0)
         chars /= n[:, None]
-        mean /= n
         row = (whole & np.uint64((1 << _WORD_BITS) - 1)).astype(np.int64)
-        own = self.odds_word[(whole >> np.uint64(64 - _ODDS_BITS)).astype(np.int64)]
-        x = np.concatenate([self.word[row], chars, own[:, None], top[:, None], mean[:, None], (own * top)[:, None]], axis=1).astype(np.float32)
-        return x, (row, cells, n)
+        return np.concatenate([self.word[row], chars], axis=1), (row, cells, n)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.dense["in"] + self.dense["in0"]
@@ -208,7 +208,7 @@ class Network:
         if not len(flat):
             return out
         owner, starts, sizes = spans_of(first)
-        logits = self.score_spans(self.project(self.inputs(known)[0]), flat, starts, sizes)
+        logits = self.score_spans(self.project(self.inputs(spell(known))[0]), flat, starts, sizes)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, logits)
         has = np.isfinite(best)
@@ -230,32 +230,25 @@ def spans_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(x, np.int64) for x in zip(*spans))  # type: ignore[return-value]
 
 
-def _presence(counts: np.ndarray, doc: np.ndarray, item: np.ndarray, labels: np.ndarray) -> None:
-    """Add to counts (by label and hashed item) the documents that hold each item. doc, item: pairs of whole documents."""
-    pairs = np.unique(doc << _ODDS_BITS | item)
-    label = labels[pairs >> _ODDS_BITS] == 1
-    item = pairs & ((1 << _ODDS_BITS) - 1)
-    for k, own in ((0, ~label), (1, label)):
-        counts[k] += np.bincount(item[own], minlength=1 << _ODDS_BITS)
-
-
-def _log_odds(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Class log-odds of hashed items by documents that hold them, less two standard errors, from 0 to 2."""
-    neg, pos = counts
-    n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
-    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    return (np.clip(odds - 2 * error, 0, 6) / 3).astype(np.float32)
-
-
 class Trainer:
-    """Adam for dense weights, Adagrad for the rows of the tables."""
+    """Adam for dense weights, and for the rows of the tables that a batch touches."""
 
-    def __init__(self, net: Network, rate: float = 0.01):
-        self.net, self.rate, self.t = net, rate, 0
+    def __init__(self, net: Network, spelled: tuple, rate: float = 0.01, table_rate: float = 0.02):
+        self.net, self.rate, self.table_rate, self.t = net, rate, table_rate, 0
         self.m = {k: np.zeros_like(v) for k, v in net.dense.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.dense.items()}
-        self.sums = {"word": np.full(len(net.word), 1e-3, np.float32), "char": np.full(len(net.char), 1e-3, np.float32)}
+        self.rows = {name: (np.zeros_like(getattr(net, name)), np.zeros(len(getattr(net, name)), np.float32)) for name in ("word", "char")}
+        self.whole, self.grams = spelled
+        self.begins = [np.searchsorted(of, np.arange(len(self.whole) + 1)) for _, of in self.grams]
+
+    def spelled(self, words: np.ndarray) -> tuple:
+        """The spelling of some of the words, renumbered."""
+        grams = []
+        for (hashes, _), begin in zip(self.grams, self.begins):
+            many = begin[words + 1] - begin[words]
+            offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            grams.append((hashes[np.repeat(begin[words], many) + offset], np.repeat(np.arange(len(words)), many)))
+        return self.whole[words], grams
 
     def _direction(self, x, u, mask, backward):
         h = HIDDEN
@@ -288,16 +281,13 @@ class Trainer:
             carry = dy @ u.T + on * z + (total - on)
         return dx, du
 
-    def step(self, rows: list[list[bytes]], y: np.ndarray, weight: np.ndarray) -> float:
-        """One update on a batch of windows; returns the mean loss."""
+    def step(self, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        """One update on a batch of windows, a row of word ids each; returns the mean loss."""
         net, d, h = self.net, self.net.dense, HIDDEN
-        sizes = np.array([len(r) for r in rows])
-        steps = int(sizes.max())
-        flat, first, known = code(rows)
-        at = np.arange(steps)[None, :]
-        mask = at < sizes[:, None]
-        ids = flat[first[:-1, None] + np.minimum(at, sizes[:, None] - 1)]
-        x, (row, cells, n) = net.inputs(known)
+        mask = np.arange(ids.shape[1])[None, :] < sizes[:, None]
+        words, ids = np.unique(ids, return_inverse=True)
+        ids = ids.reshape(mask.shape)
+        x, (row, cells, n) = net.inputs(self.spelled(words))
         table = net.project(x)
         read = table[ids]
         hf, kf = self._direction(read[:, :, : 3 * h], d["uf"], mask, False)
@@ -327,10 +317,10 @@ class Trainer:
         np.add.at(dt, ids[mask], np.concatenate([dxf, dxb], axis=2)[mask])
         g |= {"in": x.T @ dt, "in0": dt.sum(axis=0)}
         dx = dt @ d["in"].T
+        self.t += 1
         self._sparse("word", row, dx[:, :WORD_DIMS])
-        share = dx[:, WORD_DIMS : WORD_DIMS + CHAR_DIMS] / n[:, None]
+        share = dx[:, WORD_DIMS:] / n[:, None]
         self._sparse("char", np.concatenate([c for c, _ in cells]), np.concatenate([share[of] for _, of in cells]))
-        self.t += 1
         for k, grad in g.items():
             grad = np.clip(grad, -1, 1)
             self.m[k] = 0.9 * self.m[k] + 0.1 * grad
@@ -339,60 +329,50 @@ class Trainer:
         return float(-(weight * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() / weight.sum())
 
     def _sparse(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        table = getattr(self.net, name)
+        """Adam with one second moment a row; rows that the batch doesn't touch stay."""
+        table, (m, v) = getattr(self.net, name), self.rows[name]
         which, inverse = np.unique(rows, return_inverse=True)
         total = np.zeros((len(which), grad.shape[1]), np.float32)
         np.add.at(total, inverse, grad)
-        self.sums[name][which] += (total * total).mean(axis=1)
-        table[which] -= 0.02 * total / np.sqrt(self.sums[name][which])[:, None]
+        m[which] = 0.8 * m[which] + 0.2 * total
+        v[which] = 0.99 * v[which] + 0.01 * (total * total).mean(axis=1)
+        late = np.sqrt(1 - 0.99 ** min(self.t, 2000))
+        table[which] -= self.table_rate * m[which] / (np.sqrt(v[which])[:, None] / late + 1e-6)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[list[bytes]], owner: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """The network from windows (lists of words), the document of each (in rising order) and the documents' labels."""
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    flat, first, known = code(docs)
-    whole, grams = spell(known)
-    top = np.uint64(64 - _ODDS_BITS)
-    pairs = np.unique(np.repeat(np.arange(len(docs), dtype=np.int64), np.diff(first)) * len(known) + flat)
-    doc, word = pairs // len(known), pairs % len(known)
-    by_word, by_char = (np.zeros((2, 1 << _ODDS_BITS), np.int64) for _ in range(2))
-    begins = [np.searchsorted(of, np.arange(len(known) + 1)) for _, of in grams]
-    for a in range(0, len(docs), 100):  # some documents at a time, so that memory stays small
-        some = slice(*np.searchsorted(doc, (a, a + 100)))
-        d, w = doc[some], word[some]
-        _presence(by_word, d, (whole[w] >> top).astype(np.int64), labels)
-        held, items = [], []
-        for (hashes, _), begin in zip(grams, begins):
-            repeat = begin[w + 1] - begin[w]
-            offset = np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            held.append(np.repeat(d, repeat))
-            items.append((hashes[np.repeat(begin[w], repeat) + offset] >> top).astype(np.int64))
-        _presence(by_char, np.concatenate(held), np.concatenate(items), labels)
-    odds_word, odds_char = _log_odds(by_word, labels), _log_odds(by_char, labels)
-    del whole, grams, begins, doc, word, pairs
-    net = Network.start(odds_word, odds_char)
-    trainer = Trainer(net)
-    owner, starts, sizes = spans_of(first)
-    toxic = np.flatnonzero(labels[owner] == 1)
-    good = np.flatnonzero(labels[owner] == 0)
-    x = net.inputs(known)[0]
-    heat = (x[:, -4] + x[:, -3])[flat]
-    warm = np.array([heat[a : a + n].max() for a, n in zip(starts[toxic], sizes[toxic])])
-    size = max(16, min(BATCH, 3 * len(np.unique(owner[toxic])) * epochs // LEAST_STEPS))
+    flat, first, known = code(texts)
+    starts, sizes = first[:-1], np.diff(first)
+    spelled = spell(known)
+    net = Network.start()
+    trainer = Trainer(net, spelled)
+    clean = np.concatenate([flat[starts[k] : starts[k] + sizes[k]] for k in np.flatnonzero(labels[owner] == 0)])
+    share = 1 / np.bincount(owner, minlength=len(labels))[owner]
+    toxic, good = np.flatnonzero(labels[owner] == 1), np.flatnonzero(labels[owner] == 0)
+    n_toxic = int(labels.sum())
+    size = max(16, min(BATCH, 3 * n_toxic * epochs // LEAST_STEPS))
     for epoch in range(epochs):
-        if epoch:  # the windows that the network itself finds most toxic
-            warm = net.score_spans(net.project(net.inputs(known)[0]), flat, starts[toxic], sizes[toxic])
-            trainer.rate *= 0.7
-            good = good[np.argsort(-net.score_spans(net.project(net.inputs(known)[0]), flat, starts[good], sizes[good]), kind="stable")]
-        order = np.lexsort((-warm, owner[toxic]))
-        bad = toxic[order[np.r_[True, np.diff(owner[toxic][order]) > 0]]]
-        hard = max(len(bad), 256) if epoch else 0  # clean windows that look toxic, and others
-        both = np.concatenate([bad, good[:hard], rng.permutation(good[hard:])[: max(2 * len(bad), 512) - hard]])
-        for at in np.array_split(rng.permutation(len(both)), max(1, len(both) // size)):
-            picked = both[at]
-            rows = [docs[owner[i]][starts[i] - first[owner[i]] : starts[i] - first[owner[i]] + sizes[i]] for i in picked]
-            y = (labels[owner[picked]] == 1).astype(np.float32)
-            trainer.step(rows, y, np.where(y > 0, 1.0, 1.5).astype(np.float32))
+        if epoch < WARM:
+            chosen = np.concatenate([toxic, rng.permutation(good)[: max(2 * len(toxic), 64)]])
+            weight = np.where(labels[owner[chosen]] == 1, share[chosen], len(toxic) / (2 * len(toxic)) * share[toxic].mean())
+        else:
+            heat = net.score_spans(net.project(net.inputs(spelled)[0]), flat, starts, sizes)
+            order = np.lexsort((-heat[toxic], owner[toxic]))
+            bad = toxic[order[np.r_[True, np.diff(owner[toxic][order]) > 0]]]
+            hard = good[np.argsort(-heat[good], kind="stable")]
+            chosen = np.concatenate([bad, hard[: len(bad)], rng.permutation(hard[len(bad) :])[: max(2 * len(bad), 64)]])
+            weight = np.ones(len(chosen))
+            trainer.rate, trainer.table_rate = trainer.rate * 0.8, trainer.table_rate * 0.8
+        for at in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // size)):
+            picked = chosen[at]
+            width = int(sizes[picked].max())
+            ids = flat[starts[picked][:, None] + np.minimum(np.arange(width)[None, :], sizes[picked][:, None] - 1)]
+            # some windows more of one clean word over and over, which tell a word that is rare from one that is toxic
+            echo = np.repeat(rng.choice(clean, len(at) // ECHOES + 1)[:, None], width, axis=1)
+            y = np.r_[(labels[owner[picked]] == 1).astype(np.float32), np.zeros(len(echo), np.float32)]
+            trainer.step(np.concatenate([ids, echo]), np.r_[sizes[picked], np.full(len(echo), width)], y, np.r_[weight[at], np.full(len(echo), weight[at].mean())].astype(np.float32))
     return net
 
 
@@ -400,20 +380,40 @@ def held_out(id_column: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
+def cut_windows(text: bytes | None, name: bytes, most: int = WINDOWS_A_DOC, most_bytes: int = WINDOW_BYTES) -> list[bytes]:
+    """Up to most windows of a text, each as its words with spaces between them; a name chooses among more, and the same name the same ones."""
+    words = words_of(text)
+    spans = windows(len(words))
+    if len(spans) > most:
+        picked = np.random.default_rng(zlib.crc32(name)).permutation(len(spans))[:most]
+        spans = [spans[k] for k in sorted(picked.tolist())]
+    return [w for w in (b" ".join(words[a:b]) for a, b in spans) if len(w) <= most_bytes]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", positive: int = POSITIVE, negative: int = NEGATIVE) -> Network | None:
-    """The network from a bounded sample of labelled documents outside the held-out fold; None without labels of both kinds."""
+    """The network from windows of a bounded sample of labelled documents outside the held-out fold; None without labels of both kinds."""
     clear = clear_labels(labels, id_column, "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_column)))
     counts = {r[0]: r[1] for r in clear.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     picks = [bounded_sample(clear.filter(F.col("toxic") == v), F.col("toxic"), F.col(id_column), n, {v: counts[v]}) for v, n in ((1, positive), (0, negative))]
-    chosen = F.broadcast(picks[0].unionByName(picks[1]).withColumnRenamed("toxic", "_vs_y"))
-    sample = docs.select(id_column, F.col(text).alias("_vs_text")).join(chosen, id_column).dropDuplicates([id_column]).orderBy(id_column)
-    got = sample.select("_vs_text", "_vs_y").toArrow()
-    y = np.asarray(got.column(1)).astype(np.int64)
+    chosen = F.broadcast(picks[0].unionByName(picks[1]).select(F.col(id_column).alias("_vs_id"), F.col("toxic").alias("_vs_y")))  # at most about positive + negative rows
+    sample = docs.select(F.col(id_column).alias("_vs_id"), F.col(text).alias("_vs_text")).join(chosen, "_vs_id")
+    sample = sample.groupBy("_vs_id", "_vs_y").agg(F.min("_vs_text").alias("_vs_text")).select(F.col("_vs_id").cast("string").alias("id"), F.col("_vs_y").alias("y"), F.col("_vs_text").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            names, kinds, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
+            out = [(n, k, w) for n, k, t in zip(names, kinds, rows) for w in cut_windows(t, n.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["id", "y", "words"])
+
+    got = sample.mapInArrow(cut, "id string, y int, words binary").orderBy("id", "words").toArrow()
+    names, inverse = np.unique(np.array(got.column("id").to_pylist(), dtype=object), return_inverse=True)
+    y = np.zeros(len(names), np.int64)
+    y[inverse] = np.asarray(got.column("y"))
     if {*y.tolist()} != {0, 1}:
         return None
-    return train(as_bytes(got.column(0).combine_chunks()), y)
+    return train([w.split() for w in got.column("words").to_pylist()], inverse, y)
 
 
 def score(docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
