@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.llm import decontaminate, languageid, mixing, quality, simhash
-from veldspar.llm.shared import materialize
+from veldspar.llm.shared import materialize, release, tables_made
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; between them documents are written to the scratch folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents; between them documents are written to the scratch folder and read again.
+
+    Once a stage's documents are written, all that was written before goes. What the last stage reads stays until
+    release(spark) is called or the folder is cleaned.
+    """
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_made()
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if not k else materialize(docs, f"pipeline-{name}"), sf_dir)
+        if k:
+            docs = materialize(docs, f"pipeline-{name}")
+            release(spark, began, spare_last=1)
+        docs = stage(spark, docs, sf_dir)
     return docs
