@@ -1,4 +1,11 @@
-"""Guarded read-only SQL: the parser decides what is a read, results are capped, and a timeout interrupts the job."""
+"""Guarded read-only SQL: every node of the parsed text must be one of a read, results are capped, and a timeout interrupts the job.
+
+What is judged is the whole tree that Spark's parser builds: children, bodies of common table expressions, and subqueries
+within expressions. A node that isn't on the list of reads refuses the text, so commands and writes do wherever they
+stand. Relations must be registered views (temporary ones) or common table expressions in scope, by one name, so no
+path and no table of a catalog can be named. Functions that run Java code are refused, and so are table functions
+beyond a list.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +13,24 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_CAP, TIMEOUT_S, PREVIEW = 500, 10.0, 50
-#: Top nodes of a parsed read.
-READS = {
-    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Intersect", "Except", "UnresolvedWith", "WithCTE", "UnresolvedRelation", "SubqueryAlias", "Offset",
-    "UnresolvedInlineTable", "LocalRelation", "UnresolvedHaving", "WithWindowDefinition", "UnresolvedTableValuedFunction", "Join", "Pivot", "Unpivot", "Sample", "OneRowRelation", "Tail",
-}
+#: Nodes of a parsed read.
+READS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Union Intersect Except UnresolvedWith UnresolvedRelation SubqueryAlias Offset UnresolvedInlineTable LocalRelation"
+    " UnresolvedHaving WithWindowDefinition UnresolvedTableValuedFunction Join LateralJoin Pivot Unpivot UnresolvedPivot Sample OneRowRelation Tail Generate UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedHint UnionLoop".split()
+)
+#: Table functions and generators.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple variant_explode variant_explode_outer".split())
+#: Functions that run code of the class path, or read documents that may name files.
+REFUSED_FUNCTIONS = re.compile(r"^(?:java_method|reflect|try_reflect|xpath.*|from_xml|schema_of_xml)$")
 
 
 @dataclass
@@ -36,13 +50,62 @@ def dialect(sql: str) -> str:
     return "".join(p if k % 2 else re.sub(r"(?<![\w\])])\[([A-Za-z_]\w*)\]", r"`\1`", p) for k, p in enumerate(parts))
 
 
+def _each(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _names(parts) -> list[str]:
+    return [str(p).lower() for p in _each(parts)]
+
+
+def _expressions(plan) -> Iterator:
+    """All expressions of a node, to the leaves."""
+    todo = _each(plan.expressions())
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += _each(e.children())
+
+
+def _reason(plan, views: frozenset[str], scope: frozenset[str]) -> str | None:
+    """Why a node or anything below it isn't a read; scope: names of common table expressions that it may use."""
+    name = plan.nodeName()
+    if name not in READS:
+        return f"{name} is no read"
+    if name == "UnresolvedRelation":
+        parts = _names(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0] not in scope | views:
+            return f"{'.'.join(parts)} is no registered view"
+    if name == "UnresolvedTableValuedFunction" and (parts := _names(plan.name())) and parts[-1] not in TABLE_FUNCTIONS:
+        return f"the table function {'.'.join(parts)} isn't allowed"
+    for e in _expressions(plan):
+        kind = e.nodeName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = _names(e.nameParts()) if kind == "UnresolvedFunction" else [str(e.name().funcName()).lower()]
+            if any(REFUSED_FUNCTIONS.match(p) for p in parts) or kind == "UnresolvedGenerator" and parts[-1] not in TABLE_FUNCTIONS:
+                return f"the function {'.'.join(parts)} isn't allowed"
+        elif "Reflect" in kind or "StaticInvoke" in kind:
+            return f"{kind} isn't allowed"
+        elif is_instance_of(SparkContext._gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            if why := _reason(e.plan(), views, scope):
+                return why
+    if name == "UnresolvedWith":
+        for relation in _each(plan.cteRelations()):
+            own = frozenset([str(relation._1()).lower()])
+            if why := _reason(relation._2(), views, scope | own if plan.allowRecursion() else scope):
+                return why
+            scope |= own
+    return next((why for child in _each(plan.children()) if (why := _reason(child, views, scope))), None)
+
+
 def reason_against(spark: SparkSession, sql: str) -> str | None:
-    """Why a text isn't a single read; None if it is one."""
+    """Why a text isn't a single read of registered views; None if it is one."""
     try:
-        top = spark._jsparkSession.sessionState().sqlParser().parsePlan(dialect(sql)).nodeName()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(dialect(sql))
     except Exception as e:  # the parser's own errors come through the gateway in several classes
         return "it can't be parsed: " + str(e).splitlines()[0][:200]
-    return None if top in READS else f"{top} is no read"
+    views = frozenset(t.name.lower() for t in spark.catalog.listTables() if t.isTemporary)
+    return _reason(plan, views, frozenset())
 
 
 def guarded(spark: SparkSession, sql: str, cap: int = ROW_CAP) -> DataFrame:
