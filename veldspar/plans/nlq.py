@@ -72,6 +72,7 @@ class Schema:
     columns: dict[str, list[Col]]
     edges: list[tuple[str, str, str, str]]
     aliases: dict[str, str] = field(default_factory=dict)
+    descriptions: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         for t in self.columns:
@@ -84,12 +85,12 @@ class Schema:
                     self.aliases.setdefault(part, t)
 
     @classmethod
-    def of(cls, rows: list[tuple], edges: list[tuple[str, str, str, str]]) -> Schema:
-        """From catalog.column_rows and foreign keys."""
+    def of(cls, rows: list[tuple], edges: list[tuple[str, str, str, str]], descriptions: dict[str, str] | None = None) -> Schema:
+        """From catalog.column_rows and foreign keys; descriptions by table help to find one that a question doesn't name."""
         columns: dict[str, list[Col]] = {}
         for t, _, c, _, kind, pk, fk in rows:
             columns.setdefault(t, []).append(Col(t, c, kind, pk or fk))
-        return cls(columns, [e for e in edges if e[0] in columns and e[2] in columns])
+        return cls(columns, [e for e in edges if e[0] in columns and e[2] in columns], descriptions=descriptions or {})
 
     def has(self, c: str, table: str) -> bool:
         return any(x.name == c for x in self.columns[table])
@@ -108,17 +109,24 @@ class Plan:
     columns: list[Col] = field(default_factory=list)
     limit: int | None = None
     descending: bool = False
+    years: list[int] = field(default_factory=list)
     joins: list[tuple[str, str, str, str]] = field(default_factory=list)
     confidence: float = 0.5
     warnings: list[str] = field(default_factory=list)
 
     @property
     def explanation(self) -> str:
-        verb = {"count": "Counting records", "average": "Calculating average", "sum": "Calculating total sum", "max": "Finding maximum value", "min": "Finding minimum value"}.get(self.intent, "Retrieving data")
-        parts = [verb, f"from **{', '.join(self.tables)}**"] if self.tables else [verb]
-        if self.filters:
-            parts.append("where " + " and ".join(f"{c.name} {op} {v}" for c, op, v in self.filters))
-        return " ".join([*parts, *([f"grouped by {self.period}"] if self.period else []), *([f"(top {self.limit} results)"] if self.limit else [])])
+        """What is computed, of what, under which conditions, by what, and how much of it."""
+        what = self.intent if self.measure is None else f"{self.intent} of {self.measure.table}.{self.measure.name}"
+        lines = [what + (" over " + " joined with ".join(self.tables) if self.tables else "")]
+        lines += [f"only where {c.table}.{c.name} {op} {v:g}" if isinstance(v, float) else f"only where {c.table}.{c.name} {op} {v}" for c, op, v in self.filters]
+        if self.group or self.period:
+            lines.append("one row for each " + " and ".join(x for x in (self.period, self.group and self.group.name) if x))
+        if self.years:
+            lines.append("years " + " against ".join(map(str, self.years)) if self.intent == "compare" else "year " + str(self.years[0]))
+        if self.limit:
+            lines.append(f"at most {self.limit} rows")
+        return "; ".join(lines)
 
 
 def _said(word: str, q: str) -> bool:
@@ -138,11 +146,33 @@ def bind_tables(q: str, schema: Schema) -> list[str]:
 
 
 def fuzzy_tables(q: str, schema: Schema) -> list[str]:
+    """Tables that share words with the question: those of the name count 1, those of the description a half; the better of the two decides."""
     words = set(re.findall(r"\w{3,}", q))
-    scored = [(len(words & set(t.lower().split("_"))), t) for t in schema.columns]
+    scored = []
+    for t in schema.columns:
+        in_name, in_text = words & set(t.lower().split("_")), words & set(re.findall(r"\w{3,}", schema.descriptions.get(t, "").lower()))
+        scored.append((max(len(in_name), 0.5 * len(in_text)), t))
     return [t for n, t in sorted(scored, key=lambda x: -x[0]) if n]
 
 
+#: Words of money, fixed values: a question with one needs a table that has amounts.
+MONEY = "revenue sales income price cost payment spent total money profit".split()
+
+
+def with_amounts(q: str, tables: list[str], schema: Schema) -> list[str]:
+    """tables, and the first table that has amounts if the question is about money and none of them has any."""
+    has = lambda t: any(c.semantic == "amount" for c in schema.columns[t])
+    if not any(w in q for w in MONEY) or any(map(has, tables)):
+        return tables
+    return tables + [t for t in schema.columns if t not in tables and has(t)][:1]
+
+
+def asked_years(q: str) -> list[int]:
+    """Years that a question names after a preposition, or on both sides of a comparison."""
+    found = [int(y) for y in re.findall(r"\b(?:in|from|of|during|for|year|between|and|versus|vs\.?|compare|with|to)\s+((?:19|20)\d\d)\b", q)]
+    return list(dict.fromkeys(found))
+
+
 def bind_columns(q: str, tables: list[str], schema: Schema) -> list[Col]:
     found: dict[tuple[str, str], Col] = {}
     for t, cols in schema.columns.items():
@@ -240,8 +270,12 @@ def join_path(tables: list[str], schema: Schema) -> tuple[list[tuple[str, str, s
 
 def plan(question: str, schema: Schema) -> Plan:
     q = question.lower()
-    intents = detect_intents(q)
+    years = asked_years(q)
+    whole, q = q, re.sub(r"\b(?:19|20)\d\d\b", " ", q) if years else q  # a year is no number to compare with
+    intents = detect_intents(whole)
     tables = bind_tables(q, schema)
+    if tables and (intents[0] in AGGREGATES or "trend" in intents):
+        tables = with_amounts(q, tables, schema)
     p = Plan(intents[0], intents, tables, descending=re.search(DESCENDING, q) is not None)
     if not tables:
         tables = p.tables = [next(iter(schema.columns))]
@@ -255,8 +289,23 @@ def plan(question: str, schema: Schema) -> Plan:
     if p.period:
         pool = [c for c in columns if c.table in tables] + [c for t in tables for c in schema.columns[t]]
         p.time = next((c for c in pool if c.semantic == "date" or c.kind == "DATETIME"), None)
-    if p.intent == "count":
-        if not p.time and "group" in intents:
+    if years:
+        pool = [c for c in columns if c.table in tables] + [c for t in tables for c in schema.columns[t]]
+        p.time = p.time or next((c for c in pool if c.semantic == "date" or c.kind == "DATETIME"), None)
+        if p.time is None:
+            p.warnings.append("There is no date column; years are ignored")
+        else:
+            p.years = years
+    if len(p.years) > 1 and ("compare" in intents or len(years) == 2):
+        # two years side by side: the measure if the question has one, else records
+        p.intent, p.years, p.period = "compare", p.years[:2], None
+        p.measure = pick_measure(q, p.time.table, columns, schema) if {"sum", "average", "max", "min"} & {*intents} or any(w in q for w in MONEY) else None
+        p.confidence = 0.75
+    elif p.intent == "compare" and "group" not in intents and not p.period and (c := pick_group_of(q, tables, columns, schema)):
+        # values of one column side by side
+        p.intent, p.group, p.confidence = "count", c, 0.7
+    elif p.intent == "count":
+        if not p.time and "group" in intents or p.years and not p.period and "group" in intents:
             p.group = pick_group_of(q, tables, columns, schema)
         p.confidence = 0.85 if p.group or p.time else 0.8
     elif p.intent in AGGREGATES:
@@ -273,6 +322,9 @@ def plan(question: str, schema: Schema) -> Plan:
                 p.group = pick_group_of(q, tables, columns, schema)
             p.tables = list(dict.fromkeys([p.measure.table, *tables]))
             p.confidence = 0.8
+    elif p.intent == "filter" and p.filters and not p.period:
+        # a condition without a verb: the rows that meet it
+        p.intent, p.columns, p.confidence = "list", [], 0.65
     elif "trend" in intents or p.period:
         if p.time:
             p.measure, p.confidence = pick_measure(q, tables[0], columns, schema), 0.75
@@ -284,7 +336,7 @@ def plan(question: str, schema: Schema) -> Plan:
         p.confidence = 0.7 if p.columns else 0.6
         if p.limit and p.descending and (m := pick_measure(q, tables[0], columns, schema)):
             p.measure, p.confidence = m, 0.75
-    if p.limit is None and p.intent == "list" and not (p.period and p.time) and not p.group:
+    if p.limit is None and p.intent in ("list", "filter") and not (p.period and p.time) and not p.group:
         p.limit = DEFAULT_LIMIT
         p.warnings.append(f"Results are limited to {DEFAULT_LIMIT} rows")
     needed = {p.tables[0], *[c.table for c, _, _ in p.filters], *[c.table for c in (p.measure, p.group, p.time) if c]}
@@ -308,7 +360,14 @@ def build(p: Plan, tables: dict[str, DataFrame]) -> DataFrame:
     ops = {">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v, "!=": lambda c, v: c != v, "like": lambda c, v: F.lower(c).contains(v.lower())}
     if p.filters:
         df = df.filter(reduce(lambda a, b: a & b, [ops[op](col(c), v) for c, op, v in p.filters]))
-    bucket = time_bucket(col(p.time), p.period).alias(p.period) if p.time else None
+    if p.years:
+        df = df.filter(F.year(col(p.time)).isin(p.years))
+    if p.intent == "compare":
+        side = lambda y: F.when(F.year(col(p.time)) == y, F.lit(1) if p.measure is None else col(p.measure))
+        name = "count" if p.measure is None else f"total_{p.measure.name}"
+        first, second = (F.coalesce(F.sum(side(y)), F.lit(0)) for y in p.years)
+        return df.agg(first.alias(f"{name}_{p.years[0]}"), second.alias(f"{name}_{p.years[1]}"), (second - first).alias("difference"))
+    bucket = time_bucket(col(p.time), p.period).alias(p.period) if p.time and p.period else None
     if p.intent == "count" or p.intent in AGGREGATES and p.measure is None:
         if bucket is not None:
             return df.groupBy(bucket).agg(F.count("*").alias("count")).orderBy(p.period)
