@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,22 +42,47 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def ngrams_to(text: Column, most: int = 3, pattern: str = r"[a-z0-9_]+") -> Column:
-    """Word n-grams of 1 to most words, space-joined."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
+#: One letter, digit or underscore of any script; a form that Java's and RE2's patterns read alike.
+RUN = r"[\p{L}\p{N}_]"
+
+
+def _accents() -> tuple[str, str]:
+    """Precomposed Latin letters whose decomposition is one plain character, and those characters."""
+    pairs = []
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(point):
+            pairs.append((chr(point), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def strip_accents(text: Column) -> Column:
+    """Latin letters without their accents, and combining marks gone."""
+    return F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", "")
+
+
+def ngrams(words: Column, most: int = 3) -> Column:
+    """1 to most neighbouring words of an array, space-joined."""
     out = words
+    none = F.array().cast("array<string>")
+
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
 
     for n in range(2, most + 1):
-        more = runs(n)
-        out = F.concat(out, F.when(F.size(words) >= n, more).otherwise(F.array().cast("array<string>")))
+        out = F.concat(out, F.when(F.size(words) >= n, runs(n)).otherwise(none))
     return out
 
 
 def keywords(text: Column, least: int = 3) -> Column:
     """Distinct words of least or more of a-z and underscores, with no letter or digit of any script at either end."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])([a-z_]{{{least},}})(?![\p{{L}}\p{{N}}_])"), 1))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({RUN}+)"), 1)
+    return F.array_distinct(F.filter(runs, lambda w: w.rlike(f"^[a-z_]{{{least},}}$")))
+
+
+def canonical_json(names: list[str]) -> Column:
+    """A row as JSON with sorted keys, no spaces, ASCII only and nulls."""
+    return F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(names)]), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})
 
 
 def char_grams(name: Column, n: int = 2) -> Column:

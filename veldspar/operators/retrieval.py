@@ -1,108 +1,194 @@
-"""Lexical, keyword and vector retrieval over documentation chunks. corpus: doc_id, content; postings live in DataFrames."""
+"""Lexical, keyword and vector retrieval over documents or documentation chunks.
+
+A corpus has doc_id and content, and may have keywords (an array) and importance. An Index holds one written table of
+postings for all strategies and one of documents, so a corpus is cut to terms once; a query reads the postings of its
+own few terms only. Scores of a strategy are weighed by importance.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, keywords, ngrams_to, terms
+from ..functions.text import RUN, cosine, keywords, ngrams, strip_accents, terms
+from ..scratch import checked_broadcast, materialize
 
 K1, B = 1.5, 0.75
+#: Shares of the weighting scheme, BM25 and keywords in the hybrid score.
 HYBRID = (0.40, 0.35, 0.25)
-LAMBDA, FLOOR = 0.7, 0.01
-#: English stop words of the weighting scheme, fixed values.
-STOP = "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split()
+LAMBDA, FLOOR, SEMANTIC_FLOOR = 0.7, 0.01, 0.1
+MAX_FEATURES, MAX_DF = 10_000, 0.95
+#: English stop words of the weighting scheme by default; another list may be passed.
+STOP = tuple("a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split())
+STRATEGIES = ("hybrid", "tfidf", "bm25", "keyword", "semantic")
 
 
-def bm25_postings(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+# --- the terms of a query, as those of a corpus ---------------------------------------------------------------------
 
 
-def bm25_stats(corpus: DataFrame) -> DataFrame:
-    """n_docs and avgdl over words and word pairs."""
-    return corpus.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg(F.size(terms(F.col("content")))), F.lit(0.0))).alias("avgdl"))
+def bm25_terms(text: str) -> list[str]:
+    words = re.sub(r"[^a-z0-9_\s]", " ", text.lower()).split()
+    return words + [f"{a}_{b}" for a, b in zip(words, words[1:])]
 
 
-def bm25_idf(corpus: DataFrame) -> DataFrame:
-    """term, df, idf."""
-    df = bm25_postings(corpus).groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-
-
-def query_terms(spark, query: str) -> DataFrame:
-    return spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-
-
-def bm25_scores(corpus: DataFrame, query: str) -> DataFrame:
-    """doc_id, score: only postings of query terms are scored; the few query terms are broadcast."""
-    spark = corpus.sparkSession
-    sized = corpus.select("doc_id", terms(F.col("content")).alias("t")).select("doc_id", "t", F.size("t").alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("avgdl"))
-    asked = F.broadcast(query_terms(spark, query))
-    tf = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(asked, "term").groupBy("doc_id", "term", "dl", "qn").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    full = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return full.groupBy("doc_id").agg(F.sum(part).alias("score"))
-
-
-def tfidf_weights(corpus: DataFrame, max_features: int = 10_000, max_df: float = 0.95) -> DataFrame:
-    """doc_id, term, weight: (1 + ln tf) idf with smoothed idf, normalised by document; words to triples, the most frequent features."""
-    stop = F.array(*[F.lit(s) for s in STOP])
-    content = F.lower("content")
-    for_words = F.array_join(F.filter(F.regexp_extract_all(content, F.lit(r"([a-z0-9_]{2,})"), 1), lambda w: ~F.array_contains(stop, w)), " ")
-    tf = corpus.select("doc_id", F.explode(ngrams_to(for_words)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    n = corpus.agg(F.count("*").alias("n"))
-    per_term = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).filter(F.col("df") <= F.lit(max_df) * F.col("n"))
-    chosen = per_term.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    raw = tf.join(F.broadcast(chosen), "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def tfidf_scores(weights: DataFrame, query: str) -> DataFrame:
-    """Cosine of each document with the query, whose terms weigh by their features' presence."""
-    spark = weights.sparkSession
-    stop = set(STOP)
-    words = " ".join(w for w in re.findall(r"[a-z0-9_]{2,}", query.lower()) if w not in stop)
-    asked = spark.range(1).select(F.explode(F.array_distinct(ngrams_to(F.lit(words)))).alias("term"))
-    n = max(1, asked.count())
-    return weights.join(F.broadcast(asked), "term").groupBy("doc_id").agg((F.sum("weight") / F.sqrt(F.lit(float(n)))).alias("score"))
+def feature_terms(text: str, stop=STOP) -> list[str]:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    words = [w for w in re.findall(r"\w[\w.]*\w", plain) if w not in {*stop}]
+    return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
 
-def keyword_index(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", F.explode(keywords(F.col("content"))).alias("term"))
+def asked_keywords(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\b[a-z_]{2,}\b", text.lower())))
 
 
-def keyword_scores(corpus: DataFrame, query: str) -> DataFrame:
-    """Share of the query's distinct keywords that a document holds."""
-    asked = sorted(set(re.findall(r"\b([a-z_]{2,})\b", query.lower())))
-    held = F.size(F.array_intersect(keywords(F.col("content")), F.array(*[F.lit(a) for a in asked]).cast("array<string>")))
-    return corpus.select("doc_id", (held / F.lit(max(1, len(asked)))).alias("score")).filter("score > 0")
+# --- the index -------------------------------------------------------------------------------------------------------
 
 
-def top(scores: DataFrame, k: int = 10, least: float = 0.01) -> DataFrame:
-    return scores.filter(F.col("score") > least).orderBy(F.desc("score"), "doc_id").limit(k)
+@dataclass
+class Index:
+    """docs: doc_id, importance, dl (BM25 terms) and norm (of feature weights). postings: kind (b, t or k), doc_id, term, tf. features: term, df, idf."""
+
+    docs: DataFrame
+    postings: DataFrame
+    features: DataFrame
+    n_docs: int
+    avgdl: float
+    stop: tuple[str, ...] = STOP
+    vectors: DataFrame | None = None
+
+
+def _filled(corpus: DataFrame) -> DataFrame:
+    has = set(corpus.columns)
+    words = F.coalesce(F.col("keywords"), F.array().cast("array<string>")) if "keywords" in has else F.array().cast("array<string>")
+    weight = F.coalesce(F.col("importance").cast("double"), F.lit(1.0)) if "importance" in has else F.lit(1.0)
+    return corpus.select("doc_id", F.coalesce("content", F.lit("")).alias("content"), words.alias("keywords"), weight.alias("importance"))
+
+
+def _enriched(times: int):
+    """Content followed by its keywords, so many times."""
+    return F.concat_ws(" ", "content", *["keywords"] * times)
+
+
+def _feature_words(stop):
+    stops = F.array(*[F.lit(s) for s in stop]).cast("array<string>")
+    return ngrams(F.filter(F.regexp_extract_all(strip_accents(F.lower(_enriched(2))), F.lit(rf"({RUN}(?:[\p{{L}}\p{{N}}_.]*{RUN}))"), 1), lambda w: ~F.array_contains(stops, w)))
+
+
+def postings_of(corpus: DataFrame, stop=STOP) -> DataFrame:
+    """kind, doc_id, term and tf of every document: BM25 terms (b), features' terms (t) and keywords (k)."""
+    kinds = {"b": terms(_enriched(1)), "t": _feature_words(stop), "k": F.array_distinct(F.concat(F.transform("keywords", F.lower), keywords(F.col("content"))))}
 
+    def told(kind: str):
+        return lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term"))
 
-def hybrid_scores(corpus: DataFrame, query: str, weights: DataFrame | None = None) -> DataFrame:
-    """Each score over its highest, weighted .40, .35 and .25."""
-    scores = [tfidf_scores(tfidf_weights(corpus) if weights is None else weights, query), bm25_scores(corpus, query), keyword_scores(corpus, query)]
-    return fuse(list(zip(HYBRID, scores)))
+    each = F.concat(*[F.transform(words, told(kind)) for kind, words in kinds.items()])
+    cut = _filled(corpus).select("doc_id", F.explode(each).alias("x"))
+    return cut.groupBy("x.kind", "doc_id", "x.term").agg(F.count("*").alias("tf"))
 
 
-def fuse(parts: list[tuple[float, DataFrame]]) -> DataFrame:
-    """Weighted sum of scores, each over its highest (or 1 where that is 0)."""
-    out = None
-    for share, part in parts:
-        high = part.agg(F.max("score").alias("m"))
-        one = part.join(F.broadcast(high)).select("doc_id", (F.lit(share) * F.col("score") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)).alias("score"))
-        out = one if out is None else out.unionAll(one)
-    return out.groupBy("doc_id").agg(F.sum("score").alias("score"))
+def build(corpus: DataFrame, max_features: int = MAX_FEATURES, max_df: float = MAX_DF, stop=STOP, vectors: DataFrame | None = None) -> Index:
+    """The index of a corpus. Postings are sorted by term within files, so a query's terms skip most of them."""
+    postings = materialize(postings_of(corpus, stop).sortWithinPartitions("kind", "term"), "search-postings")
+    ids = _filled(corpus).select("doc_id", "importance")
+    lengths = postings.filter("kind = 'b'").groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    n = corpus.count()
+    by_term = postings.filter("kind = 't'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") <= max_df * n)
+    chosen = by_term.orderBy(F.desc("total"), "term").limit(max_features)
+    features = materialize(chosen.select("term", "df", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "search-features")
+    weighed = postings.filter("kind = 't'").join(checked_broadcast(features), "term")
+    norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow((1 + F.log("tf")) * F.col("idf"), 2))).alias("norm"))
+    docs = materialize(ids.join(lengths, "doc_id", "left").join(norms, "doc_id", "left").fillna({"dl": 0, "norm": 1.0}), "search-documents")
+    total = docs.agg(F.sum("dl")).first()[0] or 0
+    return Index(docs, postings, features, n, max(1.0, total / max(n, 1)), tuple(stop), vectors)
+
+
+def weights(index: Index) -> DataFrame:
+    """doc_id, term, weight: (1 + ln tf) idf with smoothed idf, normalised by document, of the most frequent features."""
+    held = index.postings.filter("kind = 't'").join(checked_broadcast(index.features), "term").join(index.docs.select("doc_id", "norm"), "doc_id")
+    return held.select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf") / F.col("norm")).alias("weight"))
+
+
+def bm25_stats(index: Index) -> DataFrame:
+    """n_docs and avgdl over words and word pairs."""
+    return index.docs.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("avgdl"))
+
+
+def bm25_idf(index: Index) -> DataFrame:
+    """term, df, idf."""
+    df = index.postings.filter("kind = 'b'").groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", "df", F.log((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+
+
+def keyword_index(index: Index) -> DataFrame:
+    return index.postings.filter("kind = 'k'").select("doc_id", "term")
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+
+def all_scores(index: Index, query: str) -> DataFrame:
+    """doc_id, importance, tfidf (cosine), bm25 and keyword (share of the query's keywords held) of every document that has a term of the query."""
+    spark = index.docs.sparkSession
+    b, t, k = Counter(bm25_terms(query)), Counter(feature_terms(query, index.stop)), asked_keywords(query)
+    near = index.postings.filter(F.col("term").isin([*{*b, *t, *k}]))
+    df = {r.term: r["count"] for r in near.filter("kind = 'b'").groupBy("term").count().collect() if r.term in b}  # as many at most as the query has terms
+    idf = {r.term: r.idf for r in index.features.filter(F.col("term").isin([*t])).collect()}
+    own = {term: (1 + math.log(n)) * idf[term] for term, n in t.items() if term in idf}
+    norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
+    asked = [("b", term, n * math.log((index.n_docs - df[term] + 0.5) / (df[term] + 0.5) + 1)) for term, n in b.items() if term in df]
+    asked += [("t", term, w / norm * idf[term]) for term, w in own.items()] + [("k", term, 1.0 / len(k)) for term in k]
+    hits = near.join(F.broadcast(spark.createDataFrame(asked, "kind string, term string, asked double")), ["kind", "term"]).join(index.docs, "doc_id")
+    tf = F.col("tf")
+    part = {
+        "tfidf": F.col("asked") * (1 + F.log("tf")) / F.col("norm"),
+        "bm25": F.col("asked") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl)),
+        "keyword": F.col("asked"),
+    }
+    summed = [F.sum(F.when(F.col("kind") == name, score).otherwise(0.0)).alias(column) for name, (column, score) in zip("tbk", part.items())]
+    return hits.groupBy("doc_id", "importance").agg(*summed)
+
+
+def scores(index: Index, query: str, strategy: str) -> DataFrame:
+    """doc_id and score of one strategy, weighed by importance; hybrid: each score over its highest, in the shares of HYBRID."""
+    if strategy == "semantic" and index.vectors is not None:
+        raise ValueError("the semantic strategy needs the query's vector: semantic()")
+    every = all_scores(index, query)
+    if strategy != "hybrid":
+        column = "tfidf" if strategy == "semantic" else strategy
+        return every.select("doc_id", (F.col(column) * F.col("importance")).alias("score")).filter("score > 0")
+    every = materialize(every, "search-scores")
+    names = ("tfidf", "bm25", "keyword")
+    top = every.agg(*[F.max(c).alias(c) for c in names]).first()
+    share = [part * F.col(c) / (top[c] if top[c] else 1.0) for part, c in zip(HYBRID, names)]
+    return every.select("doc_id", ((share[0] + share[1] + share[2]) * F.col("importance")).alias("score"))
+
+
+def semantic(index: Index, query_vector: DataFrame) -> DataFrame:
+    """doc_id and score: cosine of each document's vector (vectors: doc_id, embedding) with the one of query_vector (column q), weighed by importance."""
+    near = index.vectors.join(F.broadcast(query_vector.limit(1))).select("doc_id", cosine(F.col("embedding"), F.col("q")).alias("like"))
+    return near.join(index.docs, "doc_id").select("doc_id", (F.col("like") * F.col("importance")).alias("score"))
+
+
+def top(scores: DataFrame, k: int = 10, least: float = FLOOR) -> DataFrame:
+    return scores.filter(F.col("score") > least).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def search(index: Index, query: str, k: int = 10, strategy: str = "hybrid", query_vector: DataFrame | None = None) -> list[tuple[object, float]]:
+    """The best (doc_id, score) by a strategy, best first. Hybrid results are re-ranked for variety; semantic search without vectors is that of the weighting scheme."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}: one of {', '.join(STRATEGIES)}")
+    if strategy == "hybrid":
+        return mmr(scores(index, query, strategy), weights(index), k)
+    if strategy == "semantic" and index.vectors is not None and query_vector is not None:
+        return [tuple(r) for r in top(semantic(index, query_vector), k, SEMANTIC_FLOOR).collect()]
+    found = scores(index, query, "tfidf" if strategy == "semantic" else strategy)
+    return [tuple(r) for r in top(found, k, 0.0 if strategy == "keyword" else FLOOR).collect()]
 
 
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
@@ -118,26 +204,21 @@ def mmr(candidates: DataFrame, weights: DataFrame, k: int = 5) -> list[tuple[int
     Worth is rounded to 12 places, so that copies tie whatever the order of sums; ties go to the smaller doc_id.
     """
     spark = weights.sparkSession
-    left, weights = candidates.filter(F.col("score") >= FLOOR).select("doc_id", "score").persist(), weights.select("doc_id", "term", "weight")
-    held = weights.storageLevel.useMemory
-    weights.persist()
+    left = materialize(candidates.filter(F.col("score") >= FLOOR).select("doc_id", "score"), "search-candidates")
+    weights = materialize(weights.select("doc_id", "term", "weight").join(checked_broadcast(left.select("doc_id")), "doc_id", "left_semi"), "search-weights")
+    kind = dict(left.dtypes)["doc_id"]
     out: list[tuple[int, float]] = []
     chosen: list[tuple[int, str, float]] = []
-    try:
-        while len(out) < k:
-            asked = F.broadcast(spark.createDataFrame(chosen, "chosen long, term string, held double"))
-            like = weights.join(asked, "term").groupBy("doc_id", "chosen").agg(F.sum(F.col("weight") * F.col("held")).alias("like"))
-            near = like.groupBy("doc_id").agg(F.max("like").alias("near"))
-            worth = F.round(LAMBDA * F.col("score") - (1 - LAMBDA) * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.0)), 12)
-            best = left.filter(~F.col("doc_id").isin([i for i, _ in out])).join(near, "doc_id", "left").orderBy(worth.desc(), "doc_id").first()
-            if best is None:
-                break
-            out.append((best.doc_id, best.score))
-            chosen += [(best.doc_id, r.term, r.weight) for r in weights.filter(F.col("doc_id") == best.doc_id).collect()]
-    finally:
-        left.unpersist()
-        if not held:
-            weights.unpersist()
+    while len(out) < k:
+        asked = F.broadcast(spark.createDataFrame(chosen, f"chosen {kind}, term string, held double"))
+        like = weights.join(asked, "term").groupBy("doc_id", "chosen").agg(F.sum(F.col("weight") * F.col("held")).alias("like"))
+        near = like.groupBy("doc_id").agg(F.max("like").alias("near"))
+        worth = F.round(LAMBDA * F.col("score") - (1 - LAMBDA) * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.0)), 12)
+        best = left.filter(~F.col("doc_id").isin([i for i, _ in out])).join(near, "doc_id", "left").orderBy(worth.desc(), "doc_id").first()
+        if best is None:
+            break
+        out.append((best.doc_id, best.score))
+        chosen += [(best.doc_id, r.term, r.weight) for r in weights.filter(F.col("doc_id") == best.doc_id).collect()]
     return out
 
 
@@ -148,42 +229,48 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return five.agg(F.round(F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))), 3).alias("confidence"))
 
 
-def table_chunks(tables: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("Table "), "table_name", F.lit(" has "), F.col("row_count").cast("string"), F.lit(" rows and "), F.col("n_columns").cast("string"), F.lit(" columns."))
-    return tables.select(F.concat(F.lit("table_"), "table_name").alias("chunk_id"), text.alias("content"), F.lit("table_overview").alias("chunk_type"), F.lit(1.5).alias("importance"))
-
-
-def column_chunks(columns: DataFrame) -> DataFrame:
-    flags = F.concat(F.when(F.col("is_pk"), " It is the primary key.").otherwise(""), F.when(F.col("is_fk"), " It references another table.").otherwise(""))
-    text = F.concat(F.lit("Column "), "column_name", F.lit(" of table "), "table_name", F.lit(" has type "), "display_type", F.lit("."), flags)
-    return columns.select(F.concat(F.lit("column_"), "table_name", F.lit("_"), "column_name").alias("chunk_id"), text.alias("content"), F.lit("column_detail").alias("chunk_type"), F.lit(1.0).alias("importance"))
-
+def confidence_of(ranked: list[float]) -> float:
+    """The same of scores in the order of their ranks."""
+    if not ranked:
+        return 0.0
+    five = ranked[:5]
+    return round(min(1.0, 0.4 * ranked[0] + 0.3 * sum(five) / len(five) + 0.3 * min(len(ranked) / 5, 1.0)), 3)
 
-def relationship_chunks(edges: DataFrame) -> DataFrame:
-    text = F.concat("from_table", F.lit("."), "from_column", F.lit(" references "), "to_table", F.lit("."), "to_column", F.lit("."))
-    return edges.select(F.concat(F.lit("relationship_"), "from_table", F.lit("_"), "from_column").alias("chunk_id"), text.alias("content"), F.lit("relationship").alias("chunk_type"), F.lit(1.3).alias("importance"))
 
+def index_stats(index: Index, chunks: DataFrame) -> DataFrame:
+    """n_chunks by chunk_type, with the sizes of both vocabularies."""
+    sizes = index.postings.agg(F.countDistinct(F.when(F.col("kind") == "b", F.col("term"))).alias("bm25_terms")).first()[0]
+    return chunks.groupBy("chunk_type").agg(F.count("*").alias("n_chunks")).withColumns({"features": F.lit(index.features.count()), "bm25_terms": F.lit(sizes)})
 
-def index_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("chunk_type").agg(F.count("*").alias("n_chunks"))
 
+# --- answers ---------------------------------------------------------------------------------------------------------
 
-#: Answer intents: patterns; the one with most hits wins.
+# Kinds of questions and the patterns that count for them.
 ANSWERS = {
-    "definition": r"what is|what does|meaning|describe|explain", "relationship": r"relat|join|connect|link|foreign", "quality": r"quality|null|missing|issue|problem",
-    "query_help": r"sql|query|select|how (?:do|can) i", "statistics": r"how many|count|total|average|statistic", "structure": r"column|table|schema|field|structure",
-}
+    "table_info": [r"\b(table|tables)\b", r"\bschema\b", r"\bstructure\b", r"\bwhat\s+(is|are)\s+the\s+table", r"\bhow\s+many\s+table"],
+    "column_info": [r"\bcolumn", r"\bfield", r"\bdata\s*type", r"\bnullable", r"\bprimary\s+key", r"\bforeign\s+key"],
+    "relationship": [r"\brelation", r"\bjoin", r"\bconnect", r"\blink", r"\breference", r"\bforeign\s+key"],
+    "quality": [r"\bquality", r"\bissue", r"\bproblem", r"\bnull", r"\bmissing", r"\bincomplete", r"\berror"],
+    "query_help": [r"\bquery", r"\bsql", r"\bselect", r"\bhow\s+to\s+get", r"\bhow\s+to\s+find", r"\bshow\s+me"],
+    "stats": [r"\bhow\s+many", r"\bcount", r"\btotal", r"\bsize", r"\brows?\b", r"\brecord"],
+}
 
 
 def answer_intent(question: str) -> str:
-    hits = {k: len(re.findall(p, question.lower())) for k, p in ANSWERS.items()}
-    best = max(hits, key=lambda k: hits[k])
+    """The kind of question that most patterns speak for; the first of equals."""
+    hits = {kind: sum(re.search(p, question.lower()) is not None for p in patterns) for kind, patterns in ANSWERS.items()}
+    best = max(hits, key=hits.__getitem__)
     return best if hits[best] else "general"
 
 
-def answer(question: str, contents: list[str]) -> str:
-    """The first chunk and up to four more distinct ones."""
-    distinct = list(dict.fromkeys(contents[:7]))
+def answer(question: str, found: list[tuple[str, str]]) -> str:
+    """Text from (content, chunk type) of what was found, best first: of the seven best, the first distinct one, up to four more, and SQL if the question asks for it."""
+    distinct = list({content: kind for content, kind in reversed(found[:7])}.items())[::-1]
     if not distinct:
-        return "Nothing was found."
-    return "\n".join([distinct[0], *[f"- {c}" for c in distinct[1:5]]])
+        return "Nothing was found. Name a table, a column, a relationship or a quality issue."
+    lines = [distinct[0][0]]
+    if len(distinct) > 1:
+        lines += ["", "See also:", *[f"- {kind.replace('_', ' ')}: {content}" for content, kind in distinct[1:5]]]
+    if answer_intent(question) == "query_help" and (sql := next((c.partition("SQL: ")[2] for c, kind in distinct if kind == "query"), "")):
+        lines += ["", "```sql", sql, "```"]
+    return "\n".join(lines)
