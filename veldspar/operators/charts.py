@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checked_broadcast
+
 
 def table_size(tables: DataFrame, k: int = 15) -> DataFrame:
     return tables.orderBy(F.desc("row_count"), "table_name").limit(k).select("table_name", "row_count")
@@ -70,10 +72,10 @@ def network(edges: DataFrame) -> DataFrame:
 def hierarchy(edges: DataFrame, most_levels: int = 5) -> DataFrame:
     """Level of each table below the roots, level by level."""
     links = edges.select(F.col("from_table").alias("child"), F.col("to_table").alias("parent")).distinct()
-    level = links.select(F.col("parent").alias("table_name")).distinct().join(F.broadcast(links.select(F.col("child").alias("table_name"))), "table_name", "left_anti").withColumn("level", F.lit(0))
+    level = links.select(F.col("parent").alias("table_name")).distinct().join(checked_broadcast(links.select(F.col("child").alias("table_name"))), "table_name", "left_anti").withColumn("level", F.lit(0))
     every = level
     for k in range(1, most_levels):
-        level = links.join(F.broadcast(level.filter(F.col("level") == k - 1)), links.parent == level.table_name).select(F.col("child").alias("table_name"), F.lit(k).alias("level")).distinct()
+        level = links.join(checked_broadcast(level.filter(F.col("level") == k - 1)), links.parent == level.table_name).select(F.col("child").alias("table_name"), F.lit(k).alias("level")).distinct()
         every = every.unionByName(level)
     return every.groupBy("table_name").agg(F.min("level").alias("level"))
 
@@ -92,7 +94,7 @@ def node_sizes(tables: DataFrame) -> DataFrame:
 def fk_coverage(tables: DataFrame, edges: DataFrame) -> DataFrame:
     linked = edges.select(F.explode(F.array("from_table", "to_table")).alias("table_name")).distinct().withColumn("in_edge", F.lit(True))
     n = edges.groupBy(F.col("from_table").alias("table_name")).agg(F.count("*").alias("fks"))
-    return tables.select("table_name").join(F.broadcast(linked), "table_name", "left").join(F.broadcast(n), "table_name", "left").select("table_name", F.coalesce("in_edge", F.lit(False)).alias("in_edge"), F.coalesce("fks", F.lit(0)).alias("n_fks"))
+    return tables.select("table_name").join(checked_broadcast(linked), "table_name", "left").join(checked_broadcast(n), "table_name", "left").select("table_name", F.coalesce("in_edge", F.lit(False)).alias("in_edge"), F.coalesce("fks", F.lit(0)).alias("n_fks"))
 
 
 def sunburst(columns: DataFrame) -> DataFrame:
@@ -104,7 +106,40 @@ def row_statistics(tables: DataFrame) -> DataFrame:
     return tables.agg(F.round(F.avg(r), 4).alias("mean"), F.median(r).alias("median"), F.round(F.stddev_pop(r), 4).alias("std"), F.min(r).alias("smallest"), F.max(r).alias("largest"))
 
 
-def running_share(tables: DataFrame) -> DataFrame:
-    """Cumulative share of rows, largest table first."""
-    w = Window.orderBy(F.desc("row_count"), "table_name")
-    return tables.select("table_name", F.sum("row_count").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+def gauge(score: DataFrame, issues: DataFrame) -> DataFrame:
+    """Score and band, with the number of issues of each severity."""
+    from .quality import band
+
+    counts = issues.agg(*[F.coalesce(F.sum((F.lower("severity") == s).cast("long")), F.lit(0)).alias(s) for s in ("high", "medium", "low")])
+    return score.join(F.broadcast(counts)).select("score", band(F.col("score"), "web").alias("band"), "high", "medium", "low")
+
+
+def network_nodes(tables: DataFrame, edges: DataFrame, inferred: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Tables at the end of an edge; if there are fewer than three, the first k tables too."""
+    ends = edges.select(F.explode(F.array("from_table", "to_table")).alias("table_name"))
+    if inferred is not None:
+        ends = ends.unionAll(best_inferred(inferred, k).select(F.explode(F.array("from_table", "to_table")).alias("table_name")))
+    ends = ends.distinct()
+    if ends.limit(3).count() < 3:
+        ends = ends.unionAll(tables.select("table_name").orderBy("table_name").limit(k)).distinct()
+    return ends
+
+
+def best_inferred(inferred: DataFrame, k: int = 10) -> DataFrame:
+    return inferred.orderBy(F.desc("score"), "from_table", "from_column", "to_table").limit(k)
+
+
+def network_edges(edges: DataFrame, inferred: DataFrame, k: int = 10) -> DataFrame:
+    """Declared edges, and the k best inferred ones that aren't declared; inferred: with score."""
+    told = edges.select("from_table", "from_column", "to_table", "to_column")
+    new = best_inferred(inferred.join(checked_broadcast(told.select("from_table", "from_column", "to_table")), ["from_table", "from_column", "to_table"], "left_anti"), k)
+    return told.select("from_table", "from_column", "to_table", F.lit("declared").alias("kind"), F.lit(1.0).alias("strength")).unionAll(new.select("from_table", "from_column", "to_table", F.lit("inferred"), "score"))
+
+
+def overview(tables: DataFrame, columns: DataFrame, issues: DataFrame, totals: DataFrame) -> DataFrame:
+    """Four panels as (panel, label, value): table sizes, issues by severity, column types, totals (a row of numbers)."""
+    panel = lambda df, name, label, value: df.select(F.lit(name).alias("panel"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    numbers = F.explode(F.array(*[F.struct(F.lit(c).alias("l"), F.col(c).cast("double").alias("v")) for c in totals.columns])).alias("x")
+    out = panel(table_size(tables), "table_size", "table_name", "row_count").unionAll(panel(severities(issues), "quality_issues", "severity", "n"))
+    out = out.unionAll(panel(by_type(columns, "display_type", "display_type"), "column_types", "display_type", "n"))
+    return out.unionAll(totals.select(numbers).select(F.lit("totals"), "x.l", "x.v"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import display_type, is_numeric
+from ..scratch import materialize
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -19,20 +20,32 @@ def profile_column(df: DataFrame, column: str) -> DataFrame:
     kind = dict(df.dtypes)[column]
     v, n = F.col("v"), F.col("n")
     x = v.cast("double") if is_numeric(kind) else F.lit(None).cast("double")
+    ordered = not is_numeric(kind) and not kind.startswith(("array", "map", "struct", "binary", "variant"))
+    words = v.cast("string") if ordered else F.lit(None).cast("string")  # text, dates and booleans order as their text does
     got = value_counts(df, column).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"), F.count("v").alias("distinct_count"),
-        F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.round(F.try_divide(F.sum(x * n), F.sum(F.when(v.isNotNull(), n))), 4).alias("avg_value"),
+        F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.min(words).alias("min_text"), F.max(words).alias("max_text"), F.round(F.try_divide(F.sum(x * n), F.sum(F.when(v.isNotNull(), n))), 4).alias("avg_value"),
     )
     if not is_numeric(kind):
         got = got.withColumn("avg_value", F.lit(None).cast("double"))
     return got.select(
-        F.lit(column).alias("column_name"), F.lit(display_type(kind)).alias("display_type"), "total_count", "null_count", "distinct_count", "min_value", "max_value", "avg_value",
+        F.lit(column).alias("column_name"), F.lit(display_type(kind)).alias("display_type"), "total_count", "null_count", "distinct_count", "min_value", "max_value", "min_text", "max_text", "avg_value",
         F.round(F.coalesce(F.try_divide("null_count", "total_count"), F.lit(0.0)), 6).alias("null_ratio"), F.round(F.coalesce(F.try_divide("distinct_count", "total_count"), F.lit(0.0)), 6).alias("uniqueness"),
     )
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column. Columns are scanned apart, so each job reads one column of a columnar source."""
+COLUMNAR = (".parquet", ".orc")
+
+
+def columnar(df: DataFrame) -> DataFrame:
+    """df, or what it reads written once as Parquet if it comes from rows (CSV, JSON, JDBC, ...): a profile scans each column apart."""
+    files = df.inputFiles()
+    return df if files and all(f.endswith(COLUMNAR) for f in files) else materialize(df, "profile-source")
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, stage: bool = False) -> DataFrame:
+    """One row per column. Columns are scanned apart, so each job reads one column of a columnar source; stage: of another source, written as one first."""
+    df = columnar(df) if stage else df
     return reduce(DataFrame.unionByName, [profile_column(df, c) for c in columns or df.columns])
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checked_broadcast
+
 WARN, CRITICAL = 0.1, 0.5
 
 
@@ -35,7 +37,7 @@ def single_value(profiles: DataFrame, least_rows: int = 100) -> DataFrame:
 def fk_nulls(profiles: DataFrame, columns: DataFrame) -> DataFrame:
     """Nulls in foreign keys that are declared present."""
     fk = columns.filter("is_fk and not nullable").select("table_name", "column_name")
-    return _issue(profiles.filter("null_count > 0").join(F.broadcast(fk), ["table_name", "column_name"], "left_semi"), "fk_nulls", "CRITICAL")
+    return _issue(profiles.filter("null_count > 0").join(checked_broadcast(fk), ["table_name", "column_name"], "left_semi"), "fk_nulls", "CRITICAL")
 
 
 def low_cardinality(profiles: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def score_cli(issues: DataFrame, tables: DataFrame, columns: DataFrame) -> DataF
     cost = F.when(F.col("severity") == "CRITICAL", 20).when(F.col("severity") == "WARNING", 10).when(F.col("severity") == "INFO", 2).otherwise(0)
     by = issues.groupBy("table_name").agg(F.sum(cost).alias("cost"))
     keyed = columns.filter("is_pk").select("table_name").distinct().withColumn("k", F.lit(True))
-    t = tables.select("table_name").join(F.broadcast(by), "table_name", "left").join(F.broadcast(keyed), "table_name", "left")
+    t = tables.select("table_name").join(checked_broadcast(by), "table_name", "left").join(checked_broadcast(keyed), "table_name", "left")
     return t.select("table_name", F.greatest(F.lit(0), 100 - F.coalesce("cost", F.lit(0)) - F.when(F.col("k"), 0).otherwise(15)).cast("int").alias("score"))
 
 
@@ -71,5 +73,6 @@ def band(score: Column, profile: str = "cli") -> Column:
     return F.when(score >= a, "excellent").when(score >= b, "good").when(score >= c, "fair").otherwise("poor")
 
 
-def null_report(profiles: DataFrame, k: int = 15) -> DataFrame:
-    return profiles.filter("null_ratio > 0.05").orderBy(F.desc("null_ratio"), "column_name").limit(k).select("column_name", "null_ratio")
+def null_report(profiles: DataFrame, k: int = 15, ratio: float = 0.05) -> DataFrame:
+    """The k columns of most nulls among those of which more than ratio is null."""
+    return profiles.filter(F.col("null_ratio") > ratio).orderBy(F.desc("null_ratio"), "column_name").limit(k).select("column_name", "null_ratio")

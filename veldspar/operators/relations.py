@@ -7,6 +7,8 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checked_broadcast
+
 # Type families and pattern scores.
 FAMILIES = [r"int", r"float|double|real|decimal|numeric", r"char|text|string", r"date|time", r"bool|bit"]
 
@@ -53,8 +55,8 @@ def explicit(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """Declared edges between known tables; identifying if the column is part of the source's key."""
     known = columns.select("table_name").distinct()
     pk = columns.filter("is_pk").select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), F.lit(True).alias("p"))
-    inside = edges.join(F.broadcast(known), edges.to_table == known.table_name, "left_semi")
-    return inside.join(F.broadcast(pk), ["from_table", "from_column"], "left").select("from_table", "from_column", "to_table", "to_column", F.coalesce("p", F.lit(False)).alias("is_identifying"), F.lit("many-to-one").alias("relationship_type"))
+    inside = edges.join(checked_broadcast(known), edges.to_table == known.table_name, "left_semi")
+    return inside.join(checked_broadcast(pk), ["from_table", "from_column"], "left").select("from_table", "from_column", "to_table", "to_column", F.coalesce("p", F.lit(False)).alias("is_identifying"), F.lit("many-to-one").alias("relationship_type"))
 
 
 def implicit(columns: DataFrame) -> DataFrame:
@@ -67,17 +69,42 @@ def implicit(columns: DataFrame) -> DataFrame:
     by_name = targets.select("*", F.explode(F.array_distinct(names)).alias("k"))
     by_key = targets.filter(F.lower("to_column").rlike("^[a-z]+_[a-z]+key$")).select("*", F.regexp_extract(F.lower("to_column"), "^[a-z]+_([a-z]+key)$", 1).alias("k"))
     source = columns.filter("not is_pk")
-    a = source.withColumn("k", F.lower("column_name")).join(F.broadcast(by_name), "k")
-    b = source.withColumn("k", F.regexp_extract(F.lower("column_name"), "^[a-z]+_([a-z]+key)$", 1)).join(F.broadcast(by_key), "k")
+    a = source.withColumn("k", F.lower("column_name")).join(checked_broadcast(by_name), "k")
+    b = source.withColumn("k", F.regexp_extract(F.lower("column_name"), "^[a-z]+_([a-z]+key)$", 1)).join(checked_broadcast(by_key), "k")
     both = a.unionByName(b).filter(F.col("table_name") != F.col("to_table"))
     alike = (_family(F.col("declared_type")) == _family(F.col("to_type"))) & _family(F.col("to_type")).isin(0, 2)
     return both.filter(alike).select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), "to_table", "to_column").distinct()
 
 
+def implicit_by_suffix(columns: DataFrame, source: str = "database") -> DataFrame:
+    """Edges of <x>_id columns to the tables x, xs and xes, the first of them that exists.
+
+    database: columns that aren't declared keys, also to x without its s, never to their own table. files: columns that
+    are marked as keys, and their own table counts. The target's single key column, or id where it has none.
+    """
+    stem = F.substring(F.lower("column_name"), 1, F.length("column_name") - 3)
+    tries = [stem, F.concat(stem, F.lit("s")), F.concat(stem, F.lit("es"))] + ([F.regexp_replace(stem, "s$", "")] if source == "database" else [])
+    asking = columns.filter(F.lower("column_name").endswith("_id") & (~F.col("is_fk") if source == "database" else F.col("is_fk")))
+    each = asking.select("table_name", "column_name", F.posexplode(F.array(*tries)).alias("rank", "k"))
+    keyed = F.when(F.sum(F.col("is_pk").cast("int")) == 1, F.max(F.when(F.col("is_pk"), F.col("column_name"))))
+    targets = columns.groupBy(F.col("table_name").alias("to_table")).agg(F.coalesce(keyed, F.lit("id")).alias("to_column")).withColumn("k", F.lower("to_table"))
+    met = each.join(checked_broadcast(targets), "k")
+    if source == "database":
+        met = met.filter(F.col("table_name") != F.col("to_table"))
+    best = met.groupBy("table_name", "column_name").agg(F.min(F.struct("rank", "to_table", "to_column")).alias("b"))
+    return best.select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), "b.to_table", "b.to_column")
+
+
 def scored(columns: DataFrame) -> DataFrame:
     """Candidate edges by .5 pattern + .3 type + .2 cardinality confidence. columns: metadata with uniqueness; pattern above .5."""
     pk = columns.filter("is_pk").select(F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"), F.col("declared_type").alias("to_type"), F.col("uniqueness").alias("to_ratio"))
-    pairs = columns.filter("not is_pk").join(F.broadcast(pk), F.col("table_name") != F.col("to_table"))
+    # every pattern has the table's name, or its name without s, in the column's: pairs meet by the runs of letters of the column
+    c = F.lower("column_name")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: c.substr(i, n))))
+    stem = F.regexp_replace(F.lower("to_table"), "s$", "")
+    asking = columns.filter("not is_pk").withColumn("k", F.explode(F.array_distinct(runs)))
+    named = pk.withColumn("k", F.explode(F.array_distinct(F.array(F.lower("to_table"), stem))))
+    pairs = asking.join(checked_broadcast(named), "k").filter(F.col("table_name") != F.col("to_table")).drop("k").distinct()
     pattern = pattern_score(F.col("column_name"), F.col("to_table"))
     out = pairs.withColumn("pattern", pattern).filter("pattern > 0.5").withColumn("cardinality", cardinality_scored(F.col("uniqueness"), F.col("to_ratio")))
     score = 0.5 * F.col("pattern") + 0.3 * type_score(F.col("declared_type"), F.col("to_type")) + 0.2 * cardinality_confidence(F.col("cardinality"))
@@ -91,7 +118,7 @@ def similar_names(columns: DataFrame) -> DataFrame:
     one = columns.select("table_name", "column_name", char_grams(F.col("column_name")).alias("grams"))
     each = one.withColumn("g", F.explode("grams"))
     a, b = (each.select(F.col("g"), *[F.col(c).alias(f"{side}_{c}") for c in ("table_name", "column_name", "grams")]) for side in ("a", "b"))
-    met = a.join(F.broadcast(b), "g").filter(F.col("a_table_name") < F.col("b_table_name")).drop("g").distinct()
+    met = a.join(checked_broadcast(b), "g").filter(F.col("a_table_name") < F.col("b_table_name")).drop("g").distinct()
     return met.select("a_table_name", "a_column_name", "b_table_name", "b_column_name", F.round(jaccard(F.col("a_grams"), F.col("b_grams")), 6).alias("similarity"))
 
 
@@ -111,13 +138,13 @@ def roles(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """core: only referenced; transaction: references others; isolated: neither."""
     out = edges.select(F.col("from_table").alias("table_name")).distinct().withColumn("o", F.lit(True))
     into = edges.select(F.col("to_table").alias("table_name")).distinct().withColumn("i", F.lit(True))
-    t = tables.select("table_name").join(F.broadcast(out), "table_name", "left").join(F.broadcast(into), "table_name", "left")
+    t = tables.select("table_name").join(checked_broadcast(out), "table_name", "left").join(checked_broadcast(into), "table_name", "left")
     return t.select("table_name", F.when(F.col("o"), "transaction").when(F.col("i"), "core").otherwise("isolated").alias("role"))
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """Tables that are referenced and reference none."""
-    return edges.select(F.col("to_table").alias("table_name")).distinct().join(F.broadcast(edges.select(F.col("from_table").alias("table_name"))), "table_name", "left_anti")
+    return edges.select(F.col("to_table").alias("table_name")).distinct().join(checked_broadcast(edges.select(F.col("from_table").alias("table_name"))), "table_name", "left_anti")
 
 
 def most_connected(edges: DataFrame) -> DataFrame:

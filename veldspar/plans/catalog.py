@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import checked_broadcast
+
 #: Columns of the test tables that metadata operators describe: (column, type).
 SCHEMAS: dict[str, list[tuple[str, str]]] = {
     "region": [("r_regionkey", "int"), ("r_name", "string")],
@@ -95,7 +97,7 @@ def tables_meta(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count, n_columns, n_pk, n_fk)."""
     spark = next(iter(tables.values())).sparkSession
     shape = columns(spark).groupBy("table_name").agg(F.count("*").alias("n_columns"), F.sum(F.col("is_pk").cast("long")).alias("n_pk"), F.sum(F.col("is_fk").cast("long")).alias("n_fk"))
-    return row_counts(tables).join(F.broadcast(shape), "table_name")
+    return row_counts(tables).join(checked_broadcast(shape), "table_name")
 
 
 def catalog_tables(spark: SparkSession, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -106,6 +108,24 @@ def catalog_tables(spark: SparkSession, include: list[str] | None = None, exclud
     return spark.createDataFrame([(n,) for n in names], "table_name string")
 
 
+def views(spark: SparkSession) -> list[str]:
+    """Names of the session's views, temporary or not, apart from its tables."""
+    return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary or t.tableType == "VIEW")
+
+
+CONSTRAINT_DDL = "table_name string, kind string, name string, columns string, refers_to string"
+
+
+def constraints(spark: SparkSession, primary=None, foreign=None, unique=None, checks=None) -> DataFrame:
+    """Declared constraints: primary and foreign keys, unique column lists by table, and checks ((table, name, condition)). Files have none of their own."""
+    primary, foreign = PRIMARY_KEYS if primary is None else primary, FOREIGN_KEYS if foreign is None else foreign
+    rows = [(t, "primary key", f"pk_{t}", ", ".join(c), None) for t, c in primary.items()]
+    rows += [(t, "foreign key", f"fk_{t}_{c}", c, f"{p}.{k}") for t, c, p, k in foreign]
+    rows += [(t, "unique", f"uq_{t}_{'_'.join(c)}", ", ".join(c), None) for t, lists in (unique or {}).items() for c in lists]
+    rows += [(t, "check", name, condition, None) for t, name, condition in checks or []]
+    return spark.createDataFrame(sorted(rows), CONSTRAINT_DDL)
+
+
 def values_sql(rows: list[tuple], names: str) -> str:
     """A VALUES list for SQL."""
 

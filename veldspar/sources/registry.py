@@ -35,7 +35,13 @@ class Registry:
         os.replace(name, self.path)
 
     def by_hash(self, content_hash: str) -> str | None:
-        return next((i for i, d in self.index["datasets"].items() if d["content_hash"] == content_hash), None)
+        """The dataset of a content hash, or of the beginning (8 characters or more) of just one."""
+        datasets = self.index["datasets"]
+        exact = next((i for i, d in datasets.items() if d["content_hash"] == content_hash), None)
+        if exact or len(content_hash) < 8:
+            return exact
+        near = [i for i, d in datasets.items() if d["content_hash"].startswith(content_hash)]
+        return near[0] if len(near) == 1 else None
 
     def resolve(self, wanted: str, content_hash: str) -> str:
         """The id of known content; else the wanted id, with V2, V3 and so on if it is taken."""
@@ -51,7 +57,7 @@ class Registry:
         name = self.resolve(wanted, content_hash)
         new = name not in self.index["datasets"]
         if new:
-            self.index["datasets"][name] = {"content_hash": content_hash, "created": time.time(), "accesses": 0, **metadata}
+            self.index["datasets"][name] = {"content_hash": content_hash, "created": time.time(), "accesses": 0, "hits": 0, **metadata}
             self.index["total"] += 1
             (self.root / "outputs" / name).mkdir(parents=True, exist_ok=True)
         else:
@@ -62,6 +68,18 @@ class Registry:
     def get(self, name: str) -> dict | None:
         return self.index["datasets"].get(name)
 
+    def count_hit(self, name: str) -> None:
+        """A stored result of the dataset was used instead of computed."""
+        self.index["datasets"][name]["hits"] = self.index["datasets"][name].get("hits", 0) + 1
+        self._save()
+
+    def raw_path(self, name: str) -> Path:
+        """Where the dataset's tables are kept, a Parquet folder each."""
+        return self.root / "datasets" / name / "raw"
+
+    def raw_tables(self, name: str) -> dict[str, str]:
+        return {p.stem: str(p) for p in sorted(self.raw_path(name).glob("*.parquet"))}
+
     def list(self) -> list[str]:
         return sorted(self.index["datasets"])
 
@@ -84,16 +102,18 @@ class Registry:
         if self.index["datasets"].pop(name, None) is None:
             return False
         shutil.rmtree(self.root / "outputs" / name, ignore_errors=True)
+        shutil.rmtree(self.root / "datasets" / name, ignore_errors=True)
         self.index["total"] -= 1
         self._save()
         return True
 
     def drop_orphans(self) -> list[str]:
-        """Remove output folders of unknown datasets."""
-        gone = [p for p in (self.root / "outputs").glob("*") if p.name not in self.index["datasets"]]
+        """Remove output and data folders of unknown datasets."""
+        gone = [p for part in ("outputs", "datasets") for p in (self.root / part).glob("*") if p.name not in self.index["datasets"]]
         for p in gone:
             shutil.rmtree(p)
-        return sorted(p.name for p in gone)
+        return sorted({p.name for p in gone})
 
     def stats(self) -> dict:
-        return {"datasets": len(self.index["datasets"]), "total": self.index["total"], "bytes": sum(p.stat().st_size for p in self.root.rglob("*") if p.is_file())}
+        counters = {c: sum(d.get(c, 0) for d in self.index["datasets"].values()) for c in ("accesses", "hits")}
+        return {"datasets": len(self.index["datasets"]), "total": self.index["total"], **counters, "bytes": sum(p.stat().st_size for p in self.root.rglob("*") if p.is_file())}
