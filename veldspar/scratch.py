@@ -37,7 +37,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there and lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
