@@ -167,7 +167,7 @@ def surest(pool: DataFrame, models: list[Logistic], gone: list[set[int]], many:
 
     Each task keeps the best of its rows only; the best of all are taken from those.
     """
-    held = pool.sparkSession.sparkContext.broadcast((models, gone))
+    held = pool.sparkSession.sparkContext.broadcast((models, [np.fromiter(g, np.int64, len(g)) for g in gone]))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views, taught = held.value
@@ -179,11 +179,13 @@ def surest(pool: DataFrame, models: list[Logistic], gone: list[set[int]], many:
             for k, part in ((0, x[:, :_TEXT]), (1, x[:, _TEXT:])):
                 p = np.round(_sigmoid(views[k].logit(part)), 6)
                 for label, n in many.items():
-                    sure = p if label else np.round(1 - p, 6)
-                    for i in np.flatnonzero(sure >= SURE[label]):
-                        if int(rows[i]) not in taught[1 - k]:
-                            best[k, label].append((-float(sure[i]), xxhash.xxh64_intdigest(x[i].tobytes()) >> 1, int(rows[i]), x[i]))
-                    best[k, label] = sorted(best[k, label], key=lambda b: b[:3])[:n]
+                    sure, found = p if label else np.round(1 - p, 6), best[k, label]
+                    least = max(SURE[label], -found[-1][0]) if len(found) == n else SURE[label]
+                    at = np.flatnonzero((sure >= least) & ~np.isin(rows, taught[1 - k]))
+                    if len(at) > n:  # the n-th best of the batch and all that are as sure
+                        at = at[sure[at] >= np.partition(sure[at], -n)[-n]]
+                    found += [(-float(sure[i]), xxhash.xxh64_intdigest(x[i].tobytes()) >> 1, int(rows[i]), x[i]) for i in at]
+                    best[k, label] = sorted(found, key=lambda b: b[:3])[:n]
         out = [(k, label, *b) for (k, label), found in best.items() for b in found]
         yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float32())))], names=_PICKED.names)
 
