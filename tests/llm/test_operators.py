@@ -596,6 +596,18 @@ def test_quality_classifier_on_labels_it_has_not_seen(spark):
     assert sum(n for *_, n in few.taught) < sum(taught.values())
 
 
+def test_quality_classifier_combination_never_turns_around():
+    rng = np.random.default_rng(0)
+    for k in range(40):  # views that are nearly or wholly right, so the loss saturates
+        y = (rng.random(400) < 0.85).astype(float)
+        a, b = (2 * y - 1) * rng.uniform(3, 15, 400) + rng.normal(0, k / 10, 400), (2 * y - 1) * 0.5 + rng.normal(0, 1, 400)
+        x = np.stack([a, b, np.ones(400)], axis=1)
+        w = cotraining._newton(x, y, np.ones(3), np.array([1.0, 1.0, -1.7]))
+        assert w[0] > 0 and np.mean((x @ w > 0) == (y > 0)) > np.mean((a > 0) == (y > 0)) - 0.02, "no worse than the better view alone"
+        slope = np.abs(x.T @ (cotraining._sigmoid(x @ w) - y) + (w - [1.0, 1.0, -1.7])).max()
+        assert slope < 1e-2, "the gradient vanishes at the least loss"
+
+
 def test_quality_classifier_odd_rows(spark, sf_dir):
     docs, labels = documents(spark, ODD), read(spark, "/root/testdata/sf0.01", "labels")
     known = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source").filter("doc_id > 10")

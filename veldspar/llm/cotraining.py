@@ -128,12 +128,24 @@ class CoModel:
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The least log-loss with a ridge around start: Newton steps, halved until the loss falls, as it is convex and saturates."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * (w - start) ** 2).sum())
+
     w = start.astype(float)
-    for _ in range(30):
+    now = loss(w)
+    for _ in range(100):
         p = _sigmoid(x @ w)
         grad = x.T @ (p - y) + ridge * (w - start)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), grad)
-        w -= np.clip(step, -2, 2)
+        size = 1.0
+        while size > 1e-8 and (new := loss(w - size * step)) > now - 1e-4 * size * float(grad @ step):
+            size /= 2
+        if size <= 1e-8 or now - new < 1e-10:
+            break
+        w, now = w - size * step, new
     return w
 
 
