@@ -46,7 +46,7 @@ _DIMS = WORD_DIMS + CHAR_DIMS
 GRAMS = (3, 5)
 FOLDS, EPOCHS, WARM, BATCH, LEAST_STEPS = 5, 12, 3, 192, 400
 #: Windows to one of a single repeated word in training.
-ECHOES = 6
+ECHOES = 3
 _INNER = b"#$%&*@+-_|'<>=~^/\\"
 #: A-Z to lower case; letters, digits, signs that stand in for letters and bytes from 128 up stay, the rest parts words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c in _INNER else 32 for c in range(256))
