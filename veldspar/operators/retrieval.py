@@ -26,7 +26,10 @@ LAMBDA, FLOOR, SEMANTIC_FLOOR = 0.7, 0.01, 0.1
 MAX_FEATURES, MAX_DF = 10_000, 0.95
 #: English stop words of the weighting scheme by default; another list may be passed.
 STOP = tuple("a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split())
-STRATEGIES = ("hybrid", "tfidf", "bm25", "keyword", "semantic")
+#: Strategies and the kinds of postings that they read: BM25 terms (b), features' terms (t) and keywords (k).
+STRATEGIES = {"hybrid": "btk", "tfidf": "t", "bm25": "b", "keyword": "k", "semantic": "t"}
+#: Best candidates that a re-ranking gathers; where they can't decide a round, all candidates are ranked by an aggregate.
+POOL = 200
 
 
 # --- the terms of a query, as those of a corpus ---------------------------------------------------------------------
@@ -80,32 +83,46 @@ def _feature_words(stop):
     return ngrams(F.filter(F.regexp_extract_all(strip_accents(F.lower(_enriched(2))), F.lit(rf"({RUN}(?:[\p{{L}}\p{{N}}_.]*{RUN}))"), 1), lambda w: ~F.array_contains(stops, w)))
 
 
-def postings_of(corpus: DataFrame, stop=STOP) -> DataFrame:
+def postings_of(corpus: DataFrame, stop=STOP, kinds: str = "btk") -> DataFrame:
     """kind, doc_id, term and tf of every document: BM25 terms (b), features' terms (t) and keywords (k)."""
-    kinds = {"b": terms(_enriched(1)), "t": _feature_words(stop), "k": F.array_distinct(F.concat(F.transform("keywords", F.lower), keywords(F.col("content"))))}
+    words_of = {"b": terms(_enriched(1)), "t": _feature_words(stop), "k": F.array_distinct(F.concat(F.transform("keywords", F.lower), keywords(F.col("content"))))}
 
     def told(kind: str):
         return lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term"))
 
-    each = F.concat(*[F.transform(words, told(kind)) for kind, words in kinds.items()])
+    each = F.concat(*[F.transform(words_of[kind], told(kind)) for kind in kinds])
     cut = _filled(corpus).select("doc_id", F.explode(each).alias("x"))
     return cut.groupBy("x.kind", "doc_id", "x.term").agg(F.count("*").alias("tf"))
 
 
-def build(corpus: DataFrame, max_features: int = MAX_FEATURES, max_df: float = MAX_DF, stop=STOP, vectors: DataFrame | None = None) -> Index:
-    """The index of a corpus. Postings are sorted by term within files, so a query's terms skip most of them."""
-    postings = materialize(postings_of(corpus, stop).sortWithinPartitions("kind", "term"), "search-postings")
-    ids = _filled(corpus).select("doc_id", "importance")
-    lengths = postings.filter("kind = 'b'").groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+def build(corpus: DataFrame, max_features: int = MAX_FEATURES, max_df: float = MAX_DF, stop=STOP, vectors: DataFrame | None = None, kinds: str = "btk") -> Index:
+    """The index of a corpus, of some kinds of postings if not all strategies are asked. Postings are sorted by term within files, so a query's terms skip most of them."""
+    postings = materialize(postings_of(corpus, stop, kinds).sortWithinPartitions("kind", "term"), "search-postings")
+    docs = _filled(corpus).select("doc_id", "importance")
     n = corpus.count()
+    if "b" in kinds:
+        docs = docs.join(postings.filter("kind = 'b'").groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left")
+    else:
+        docs = docs.withColumn("dl", F.lit(0).cast("long"))
+    features = corpus.sparkSession.createDataFrame([], "term string, df long, idf double")
+    if "t" in kinds:
+        features, norms = _weighing(postings, n, max_features, max_df)
+        docs = docs.join(norms, "doc_id", "left")
+    else:
+        docs = docs.withColumn("norm", F.lit(1.0))
+    docs = materialize(docs.fillna({"dl": 0, "norm": 1.0}), "search-documents")
+    total = docs.agg(F.sum("dl")).first()[0] or 0
+    return Index(docs, postings, features, n, max(1.0, total / max(n, 1)), tuple(stop), vectors)
+
+
+def _weighing(postings: DataFrame, n: int, max_features: int, max_df: float) -> tuple[DataFrame, DataFrame]:
+    """The features chosen of the postings of n documents, written, and the norm of each document's weights."""
     by_term = postings.filter("kind = 't'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") <= max_df * n)
     chosen = by_term.orderBy(F.desc("total"), "term").limit(max_features)
     features = materialize(chosen.select("term", "df", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "search-features")
     weighed = postings.filter("kind = 't'").join(checked_broadcast(features), "term")
     norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow((1 + F.log("tf")) * F.col("idf"), 2))).alias("norm"))
-    docs = materialize(ids.join(lengths, "doc_id", "left").join(norms, "doc_id", "left").fillna({"dl": 0, "norm": 1.0}), "search-documents")
-    total = docs.agg(F.sum("dl")).first()[0] or 0
-    return Index(docs, postings, features, n, max(1.0, total / max(n, 1)), tuple(stop), vectors)
+    return features, norms
 
 
 def weights(index: Index) -> DataFrame:
@@ -132,13 +149,14 @@ def keyword_index(index: Index) -> DataFrame:
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 
-def all_scores(index: Index, query: str) -> DataFrame:
-    """doc_id, importance, tfidf (cosine), bm25 and keyword (share of the query's keywords held) of every document that has a term of the query."""
+def all_scores(index: Index, query: str, kinds: str = "btk") -> DataFrame:
+    """doc_id, importance, tfidf (cosine), bm25 and keyword (share of the query's keywords held) of every document that has a term of the query; 0 for kinds that aren't asked."""
     spark = index.docs.sparkSession
-    b, t, k = Counter(bm25_terms(query)), Counter(feature_terms(query, index.stop)), asked_keywords(query)
-    near = index.postings.filter(F.col("term").isin([*{*b, *t, *k}]))
-    df = {r.term: r["count"] for r in near.filter("kind = 'b'").groupBy("term").count().collect() if r.term in b}  # as many at most as the query has terms
-    idf = {r.term: r.idf for r in index.features.filter(F.col("term").isin([*t])).collect()}
+    b, t = (Counter(cut if kind in kinds else []) for kind, cut in (("b", bm25_terms(query)), ("t", feature_terms(query, index.stop))))
+    k = asked_keywords(query) if "k" in kinds else []
+    near = index.postings.filter(F.col("kind").isin([*kinds]) & F.col("term").isin([*{*b, *t, *k}]))
+    df = {r.term: r["count"] for r in near.filter("kind = 'b'").groupBy("term").count().collect() if r.term in b} if b else {}  # as many at most as the query has terms
+    idf = {r.term: r.idf for r in index.features.filter(F.col("term").isin([*t])).collect()} if t else {}
     own = {term: (1 + math.log(n)) * idf[term] for term, n in t.items() if term in idf}
     norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
     asked = [("b", term, n * math.log((index.n_docs - df[term] + 0.5) / (df[term] + 0.5) + 1)) for term, n in b.items() if term in df]
@@ -158,7 +176,7 @@ def scores(index: Index, query: str, strategy: str) -> DataFrame:
     """doc_id and score of one strategy, weighed by importance; hybrid: each score over its highest, in the shares of HYBRID."""
     if strategy == "semantic" and index.vectors is not None:
         raise ValueError("the semantic strategy needs the query's vector: semantic()")
-    every = all_scores(index, query)
+    every = all_scores(index, query, STRATEGIES[strategy])
     if strategy != "hybrid":
         column = "tfidf" if strategy == "semantic" else strategy
         return every.select("doc_id", (F.col(column) * F.col("importance")).alias("score")).filter("score > 0")
@@ -197,31 +215,60 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def mmr(candidates: DataFrame, weights: DataFrame, k: int = 5) -> list[tuple[int, float]]:
+def mmr(candidates: DataFrame, weights: DataFrame, k: int = 5, pool: int = POOL) -> list[tuple[int, float]]:
     """Greedy re-ranking of all candidates by relevance less similarity to what is chosen.
 
-    A round takes the best of all candidates by a distributed aggregate; only the chosen rows and their vectors are gathered.
-    Worth is rounded to 12 places, so that copies tie whatever the order of sums; ties go to the smaller doc_id.
+    No candidate is worth more than LAMBDA times its score. So the pool of best candidates, gathered with their vectors,
+    decides a round as long as its best is worth more than any candidate beyond it can be; else the round ranks all
+    candidates by a distributed aggregate. Worth is rounded to 12 places, so that copies tie whatever the order of sums;
+    ties go to the smaller doc_id.
     """
-    spark = weights.sparkSession
-    left = materialize(candidates.filter(F.col("score") >= FLOOR).select("doc_id", "score"), "search-candidates")
-    weights = materialize(weights.select("doc_id", "term", "weight").join(checked_broadcast(left.select("doc_id")), "doc_id", "left_semi"), "search-weights")
-    kind = dict(left.dtypes)["doc_id"]
+    left = candidates.filter(F.col("score") >= FLOOR).select("doc_id", "score")
+    first = left.orderBy(F.desc("score"), "doc_id").limit(pool + 1).collect()
+    near = {r.doc_id: (r.score, defaultdict(float)) for r in first[:pool]}
+    held: defaultdict[object, dict[str, float]] = defaultdict(dict)
+    if near:
+        for r in weights.filter(F.col("doc_id").isin([*near])).select("doc_id", "term", "weight").collect():
+            held[r.doc_id][r.term] = r.weight
+    beyond = round(LAMBDA * first[pool].score, 12) if len(first) > pool else None
+    every = None  # all candidates and their vectors, written once a round needs them
     out: list[tuple[int, float]] = []
-    chosen: list[tuple[int, str, float]] = []
     while len(out) < k:
-        asked = F.broadcast(spark.createDataFrame(chosen, f"chosen {kind}, term string, held double"))
-        like = weights.join(asked, "term").groupBy("doc_id", "chosen").agg(F.sum(F.col("weight") * F.col("held")).alias("like"))
-        near = like.groupBy("doc_id").agg(F.max("like").alias("near"))
-        worth = F.round(LAMBDA * F.col("score") - (1 - LAMBDA) * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.0)), 12)
-        best = left.filter(~F.col("doc_id").isin([i for i, _ in out])).join(near, "doc_id", "left").orderBy(worth.desc(), "doc_id").first()
-        if best is None:
+        gone = {i for i, _ in out}
+        worth = {i: round(LAMBDA * score - (1 - LAMBDA) * max([0.0, *like.values()]), 12) for i, (score, like) in near.items() if i not in gone}
+        best = min(worth, key=lambda i: (-worth[i], i), default=None)
+        if beyond is not None and (best is None or worth[best] <= beyond):
+            every = every or _written(left, weights)
+            found = _best_of_all(*every, out, [(i, term, w) for i in gone for term, w in held[i].items()])
+            if found is None:
+                break
+            best, score = found
+            held[best] = held[best] or {r.term: r.weight for r in every[1].filter(F.col("doc_id") == best).collect()}
+        elif best is None:
             break
-        out.append((best.doc_id, best.score))
-        chosen += [(best.doc_id, r.term, r.weight) for r in weights.filter(F.col("doc_id") == best.doc_id).collect()]
+        else:
+            score = near[best][0]
+        out.append((best, score))
+        for i, (_, like) in near.items():
+            like[best] = sum(w * held[best].get(term, 0.0) for term, w in held[i].items())
     return out
 
 
+def _written(left: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    left = materialize(left, "search-candidates")
+    return left, materialize(weights.select("doc_id", "term", "weight").join(checked_broadcast(left.select("doc_id")), "doc_id", "left_semi"), "search-weights")
+
+
+def _best_of_all(left: DataFrame, weights: DataFrame, out: list, chosen: list) -> tuple[object, float] | None:
+    """The candidate of most worth beside those of out, whose vectors are chosen, over all candidates."""
+    asked = F.broadcast(weights.sparkSession.createDataFrame(chosen, f"chosen {dict(left.dtypes)['doc_id']}, term string, held double"))
+    like = weights.join(asked, "term").groupBy("doc_id", "chosen").agg(F.sum(F.col("weight") * F.col("held")).alias("like"))
+    near = like.groupBy("doc_id").agg(F.max("like").alias("near"))
+    worth = F.round(LAMBDA * F.col("score") - (1 - LAMBDA) * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.0)), 12)
+    best = left.filter(~F.col("doc_id").isin([i for i, _ in out])).join(near, "doc_id", "left").orderBy(worth.desc(), "doc_id").first()
+    return (best.doc_id, best.score) if best is not None else None
+
+
 def confidence(ranked: DataFrame) -> DataFrame:
     """.4 of the best score, .3 of the mean of the top five, .3 of how full the top five are; 1 at most."""
     five = ranked.orderBy(F.desc("score"), "doc_id").limit(5)

@@ -410,8 +410,8 @@ def _corpus(spark, sf):
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("content"), words.alias("keywords"), (1.0 + (F.col("item_id") % 3) / 2.0).alias("importance"))
 
 
-def _index(spark, sf):
-    return retrieval.build(_corpus(spark, sf))
+def _index(spark, sf, kinds="btk"):
+    return retrieval.build(_corpus(spark, sf), kinds=kinds)
 
 
 TOK = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -422,29 +422,29 @@ BM = f"WITH {POST}, {ASK}, bm AS (SELECT doc_id, sum(qn * ln((n - df + 0.5) / (d
 _round = lambda df: df.select("doc_id", F.round("score", 6).alias("score"))
 query("tokenize_terms", f"WITH {POST} SELECT doc_id, array_to_string(t, ' ') AS terms FROM s")(lambda spark, sf: _corpus(spark, sf).select("doc_id", F.array_join(fx.terms(F.concat_ws(" ", "content", "keywords")), " ").alias("terms")))
 query("text_normalize", "SELECT p_partkey, regexp_replace(lower(trim(p_name)), '[\\s_\\-]+', '_', 'g') AS name FROM part")(lambda spark, sf: load(spark, sf, "part").select("p_partkey", fx.normalize(F.col("p_name")).alias("name")))
-query("bm25_stats", f"WITH {POST} SELECT n AS n_docs, round(CAST(avgdl AS DOUBLE), 6) AS avgdl FROM st")(lambda spark, sf: retrieval.bm25_stats(_index(spark, sf)).select("n_docs", F.round("avgdl", 6).alias("avgdl")))
-query("bm25_idf", f"WITH {POST} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, st")(lambda spark, sf: retrieval.bm25_idf(_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf")))
-query("bm25_topk", f"{BM} SELECT doc_id, round(score * importance, 6) AS score FROM bm JOIN im USING (doc_id) WHERE score * importance > 0.01 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf), _QUERY, "bm25"))))
+query("bm25_stats", f"WITH {POST} SELECT n AS n_docs, round(CAST(avgdl AS DOUBLE), 6) AS avgdl FROM st")(lambda spark, sf: retrieval.bm25_stats(_index(spark, sf, "b")).select("n_docs", F.round("avgdl", 6).alias("avgdl")))
+query("bm25_idf", f"WITH {POST} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, st")(lambda spark, sf: retrieval.bm25_idf(_index(spark, sf, "b")).select("term", "df", F.round("idf", 6).alias("idf")))
+query("bm25_topk", f"{BM} SELECT doc_id, round(score * importance, 6) AS score FROM bm JOIN im USING (doc_id) WHERE score * importance > 0.01 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf, "b"), _QUERY, "bm25"))))
 #: Words of a-z and underscores among the runs of letters and digits of any script.
 KW = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z_]{3,}')))"
 KWS_ALL = f"list_distinct(list_concat(list_transform(words, lambda x: lower(x)), {KW}))"
 query("keyword_terms", f"SELECT item_id AS doc_id, array_to_string(list_sort({KW}), ' ') AS terms FROM benchmark")(lambda spark, sf: _corpus(spark, sf).select("doc_id", F.array_join(F.array_sort(fx.keywords(F.col("content"))), " ").alias("terms")))
-query("keyword_index", f"SELECT item_id AS doc_id, unnest({KWS_ALL}) AS term FROM {BENCH}")(lambda spark, sf: retrieval.keyword_index(_index(spark, sf)))
+query("keyword_index", f"SELECT item_id AS doc_id, unnest({KWS_ALL}) AS term FROM {BENCH}")(lambda spark, sf: retrieval.keyword_index(_index(spark, sf, "k")))
 _ASKED = sorted({w for w in _QUERY.split() if len(w) >= 2})
 KWS = f"SELECT item_id AS doc_id, len(list_intersect({KWS_ALL}, {_ASKED})) / {len(_ASKED)}.0 AS score, importance FROM {BENCH}"
-query("keyword_topk", f"SELECT doc_id, round(CAST(score * importance AS DOUBLE), 6) AS score FROM ({KWS}) WHERE score > 0 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf), _QUERY, "keyword"), least=0.0)))
+query("keyword_topk", f"SELECT doc_id, round(CAST(score * importance AS DOUBLE), 6) AS score FROM ({KWS}) WHERE score > 0 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf, "k"), _QUERY, "keyword"), least=0.0)))
 _STOPS = str(list(retrieval.STOP))
 _NG = lambda n: f"list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
 _WORD = "[\\p{L}\\p{N}_][\\p{L}\\p{N}_.]*[\\p{L}\\p{N}_]"
 TFI = f"""td AS (SELECT item_id AS doc_id, list_filter(regexp_extract_all(strip_accents(lower(text || ' ' || array_to_string(words, ' ') || ' ' || array_to_string(words, ' '))), '{_WORD}'), lambda x: NOT list_contains({_STOPS}, x)) AS w FROM {BENCH}), tz AS (SELECT doc_id, unnest(list_concat(list_concat(w, {_NG(2)}), {_NG(3)})) AS term FROM td),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tz GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark), tdf AS (SELECT term, count(*) AS df, sum(tf) AS total, any_value(n) AS n FROM tf, n GROUP BY 1 HAVING count(*) <= 0.95 * any_value(n) ORDER BY total DESC, term LIMIT 10000),
 fe AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM tdf), r AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN fe USING (term)), wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
-query("tfidf_weights", f"WITH {TFI} SELECT doc_id, term, round(weight, 6) AS weight FROM wt")(lambda spark, sf: retrieval.weights(_index(spark, sf)).select("doc_id", "term", F.round("weight", 6).alias("weight")))
-query("tfidf_terms", f"WITH {TFI} SELECT term, df, round(idf, 6) AS idf FROM fe")(lambda spark, sf: _index(spark, sf).features.select("term", "df", F.round("idf", 6).alias("idf")))
+query("tfidf_weights", f"WITH {TFI} SELECT doc_id, term, round(weight, 6) AS weight FROM wt")(lambda spark, sf: retrieval.weights(_index(spark, sf, "t")).select("doc_id", "term", F.round("weight", 6).alias("weight")))
+query("tfidf_terms", f"WITH {TFI} SELECT term, df, round(idf, 6) AS idf FROM fe")(lambda spark, sf: _index(spark, sf, "t").features.select("term", "df", F.round("idf", 6).alias("idf")))
 _QTF = sorted({t: retrieval.feature_terms(_QUERY).count(t) for t in retrieval.feature_terms(_QUERY)}.items())
 TFS = f"qv AS (SELECT term, (1 + ln(qtf)) * idf AS w FROM {values_sql(_QTF, 'term, qtf')} JOIN fe USING (term)), ts AS (SELECT doc_id, sum(weight * w) / (SELECT sqrt(sum(w * w)) FROM qv) AS score FROM wt JOIN qv USING (term) GROUP BY 1)"
 _IM = f"im AS (SELECT item_id AS doc_id, importance FROM {BENCH})"
-query("tfidf_topk", f"WITH {TFI}, {TFS}, {_IM} SELECT doc_id, round(score * importance, 6) AS score FROM ts JOIN im USING (doc_id) WHERE score * importance > 0.01 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf), _QUERY, "tfidf"))))
+query("tfidf_topk", f"WITH {TFI}, {TFS}, {_IM} SELECT doc_id, round(score * importance, 6) AS score FROM ts JOIN im USING (doc_id) WHERE score * importance > 0.01 ORDER BY score * importance DESC, doc_id LIMIT 10")(lambda spark, sf: _round(retrieval.top(retrieval.scores(_index(spark, sf, "t"), _QUERY, "tfidf"))))
 _HYB = f"{BM}, {TFI}, {TFS}, kw AS (SELECT doc_id, score FROM ({KWS}) WHERE score > 0), h AS (SELECT doc_id, 0.40 * score / (SELECT max(score) FROM ts) AS s FROM ts UNION ALL SELECT doc_id, 0.35 * score / (SELECT max(score) FROM bm) FROM bm UNION ALL SELECT doc_id, 0.25 * score / (SELECT max(score) FROM kw) FROM kw), hy AS (SELECT doc_id, sum(s) * any_value(importance) AS score FROM h JOIN im USING (doc_id) GROUP BY 1)"
 query("hybrid_scores", f"{_HYB} SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score FROM hy")(lambda spark, sf: _round(retrieval.scores(_index(spark, sf), _QUERY, "hybrid")))
 query("retrieval_confidence", f"{_HYB}, t AS (SELECT doc_id, score FROM hy ORDER BY score DESC, doc_id LIMIT 5) SELECT round(CAST(least(1.0, 0.4 * max(score) + 0.3 * avg(score) + 0.3 * least(count(*) / 5.0, 1.0)) AS DOUBLE), 3) AS confidence FROM t")(lambda spark, sf: retrieval.confidence(retrieval.scores(_index(spark, sf), _QUERY, "hybrid")))
