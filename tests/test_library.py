@@ -12,6 +12,7 @@ import __spark_entry__
 from tests.oracle import compare, connect
 from veldspar import queries
 from veldspar.engine import Engine
+from veldspar.functions import text
 from veldspar.operators import charts, docs, identity, profile, quality, relations, retrieval, semantics
 from veldspar.plans import catalog, nlq, sandbox
 from veldspar import config, scratch
@@ -369,3 +370,19 @@ def test_keyword_queries_read_whole_texts(spark, tmp_path):
 
     spark.createDataFrame([(1, "“hello” world—again")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r.term for r in QUERIES["keyword_index"](spark, str(tmp_path)).collect()} == {"hello", "world", "again", "item", "kind_1"}
+
+
+def test_vectors_without_length_and_numbers_without_bound(spark):
+    pairs = spark.createDataFrame([(0, [0.0, 0.0], [1.0, 0.0]), (1, [3.0, 4.0], [3.0, 4.0]), (2, None, [1.0, 0.0])], "i int, a array<double>, b array<double>")
+    assert [r.c for r in pairs.orderBy("i").select(text.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.0, 1.0, 0.0]
+    numbers = [(1.5,), (float("inf"),), (float("-inf"),), (1e300,), (float("nan"),), (None,)]
+    got = [r.t for r in spark.createDataFrame(numbers, "v double").select(text.canonical(F.col("v"), "double").alias("t")).collect()]
+    assert got == ["1.500000", "Infinity", "-Infinity", "1.0E300", "__NAN__", "__NULL__"]
+    assert identity.fingerprint(spark.createDataFrame(numbers, "v double")).first()["row_count"] == 6
+
+
+def test_word_lists_are_evaluated_once(spark):
+    one = spark.createDataFrame([("a b  c",), ("",), (None,), ("x",)], "t string")
+    assert [r.t for r in one.select(text.terms(F.col("t")).alias("t")).collect()] == [["a", "b", "c", "a_b", "b_c"], [], None, ["x"]]
+    many = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20_000)),)], "t string").select(F.size(text.ngrams(F.split("t", " "))).alias("n"))
+    assert many.first()["n"] == 20_000 + 19_999 + 19_998

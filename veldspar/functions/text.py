@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,12 +35,20 @@ def unigrams(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once a row, however often then refers to it, inner lambdas included."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def terms(text: Column) -> Column:
     """Words and adjacent pairs joined by an underscore."""
-    words = unigrams(text)
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat_ws("_", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+
+    def with_pairs(words: Column) -> Column:
+        n = F.size(words)
+        pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat_ws("_", a, b))).otherwise(F.array().cast("array<string>"))
+        return F.concat(words, pairs)
+
+    return once(unigrams(text), with_pairs)
 
 
 #: One letter, digit or underscore of any script; a form that Java's and RE2's patterns read alike.
@@ -63,15 +72,15 @@ def strip_accents(text: Column) -> Column:
 
 def ngrams(words: Column, most: int = 3) -> Column:
     """1 to most neighbouring words of an array, space-joined."""
-    out = words
     none = F.array().cast("array<string>")
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    for n in range(2, most + 1):
-        out = F.concat(out, F.when(F.size(words) >= n, runs(n)).otherwise(none))
-    return out
+    def every(words: Column) -> Column:
+        return F.concat(words, *[F.when(F.size(words) >= n, runs(words, n)).otherwise(none) for n in range(2, most + 1)])
+
+    return once(words, every)
 
 
 def keywords(text: Column, least: int = 3) -> Column:
@@ -98,14 +107,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Of two vectors of numbers; 0 if one is null or has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def canonical(value: Column, kind: str) -> Column:
-    """A value's canonical text: sentinels for null, NaN and empty; trimmed strings; lower-case booleans; plain numbers."""
+    """A value's canonical text: sentinels for null, NaN and empty; trimmed strings; lower-case booleans; plain numbers, infinite ones and those that six places can't hold as Spark prints them."""
     if kind in ("double", "float"):
-        text = F.when(F.isnan(value), "__NAN__").otherwise(F.round(value, 6).cast("decimal(38,6)").cast("string"))
+        text = F.when(F.isnan(value), "__NAN__").when(F.abs(value) >= 1e30, value.cast("string")).otherwise(F.round(value, 6).cast("decimal(38,6)").cast("string"))
     elif kind == "string":
         text = F.when(F.trim(value) == "", "__EMPTY__").otherwise(F.trim(value))
     else:

@@ -79,8 +79,7 @@ def _enriched(times: int):
 
 
 def _feature_words(stop):
-    stops = F.array(*[F.lit(s) for s in stop]).cast("array<string>")
-    return ngrams(F.filter(F.regexp_extract_all(strip_accents(F.lower(_enriched(2))), F.lit(rf"({RUN}(?:[\p{{L}}\p{{N}}_.]*{RUN}))"), 1), lambda w: ~F.array_contains(stops, w)))
+    return ngrams(F.filter(F.regexp_extract_all(strip_accents(F.lower(_enriched(2))), F.lit(rf"({RUN}(?:[\p{{L}}\p{{N}}_.]*{RUN}))"), 1), lambda w: ~w.isin([*stop])))
 
 
 def postings_of(corpus: DataFrame, stop=STOP, kinds: str = "btk") -> DataFrame:
