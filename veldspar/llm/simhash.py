@@ -272,8 +272,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge (long columns u and v), by contraction.
 
     Each round every node points to its smallest neighbour, pointers are doubled until each tree is flat, and edges
-    are renamed by tree; that at least halves the nodes that still have edges. Rounds are written to the scratch
-    folder, so lineage stays short.
+    are renamed by tree. Two rounds at least halve the nodes that still have edges: those left after one are the nodes
+    without a smaller neighbour, and each of them that no other pointed to has a smaller one in the next. Rounds are
+    written to the scratch folder, so lineage stays short.
     """
 
     def pointed(up: DataFrame, at: DataFrame) -> DataFrame:
