@@ -4,15 +4,15 @@ Each document has a key E / quality with E exponential from a hash of its id and
 random order without replacement. Quality falls with symbols per word, repeated lines and odd word lengths, statistics
 of the quality rules that are counted here natively. A source whose target is t times its size takes every document
 floor(t) times, and then documents in key order until the words of the rest are reached. The order is that of ranges of
-(source, key), over which sizes are summed in two levels: ranges first, and single keys within the one range per source
+(source, key), over which sizes are summed in two levels: ranges first, and single rows within the one range per source
 that holds the cut. So no source is sorted or gathered in one task, however large, and neither are the sources.
 
 Targets: sources in code-point order, null last, have the weights 3, 1, 2, repeating, and share `share` times all
 words; a target stops at `most` times its source's words, and the excess is shared again by weight until none is above.
 
-Defined cases: null texts have no words; texts of any length are counted whole; null is a source of its own; documents
-that have equal keys (equal id and text) are taken alike; the document at the cut is taken if half of it or more lies
-before the cut; sources without words have target 0; an empty table gives an empty mix; extra columns whose names clash
+Defined cases: null texts have no words; texts of any length are counted whole; null is a source of its own; rows of
+equal keys (equal id and text) are taken one by one, in the order in which they were written; the row at the cut is taken
+if half of it or more lies before the cut; sources without words have target 0; an empty table gives an empty mix; extra columns whose names clash
 with result columns are replaced.
 """
 
@@ -52,11 +52,11 @@ def key_of(doc_id: Column, text: Column, weight: Column, seed: int = 0) -> Colum
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
-    """docs with _vs_source (never null: sources under s, null as n), _vs_size, _vs_weight and _vs_key."""
+    """docs with _vs_source (never null: sources under s, null as n), _vs_size, _vs_weight, _vs_key and _vs_row, a number that tells equal rows apart once it is written."""
     t = F.col(text)
     out = docs.withColumns({"_vs_size": words(t), "_vs_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))})
     out = out.withColumn("_vs_weight", quality(t, F.col("_vs_size")))
-    return out.withColumn("_vs_key", key_of(F.col(doc_id), t, F.col("_vs_weight"), seed))
+    return out.withColumns({"_vs_key": key_of(F.col(doc_id), t, F.col("_vs_weight"), seed), "_vs_row": F.monotonically_increasing_id()})
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -81,23 +81,22 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: _vs_source, source_size, target, epochs, cut and to: keys below cut (with to: also at it) are taken once more.
+    """One row per source: _vs_source, source_size, target, epochs, cut and to: rows whose key and number lie below cut (with to: also at it) are taken once more.
 
-    rows: _vs_source, _vs_size and _vs_key of every document, a written table.
+    rows: _vs_source, _vs_size, _vs_key and _vs_row of every document, a written table.
     """
     sources = materialize(rows.groupBy("_vs_source").agg(F.sum("_vs_size").alias("source_size")), "mix-sources")
     aims = targets(sources, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = materialize(aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
-    placed = ranged(rows.select("_vs_source", "_vs_key", "_vs_size"), [F.col("_vs_source"), F.col("_vs_key")], "mix-ranges")
+    placed = ranged(rows.select("_vs_source", "_vs_key", "_vs_row", "_vs_size"), [F.col("_vs_source"), F.col("_vs_key"), F.col("_vs_row")], "mix-ranges")
     sums = ranged_sums(placed)
     met = lookup(sums, aims.select("_vs_source", "rest"), "_vs_source", "inner")
     edge = met.filter((F.col("after") > F.col("rest")) & (F.col("rest") > 0)).groupBy("_vs_source").agg(F.min(F.struct("range", "after", "s", "rest")).alias("e"))
     edge = materialize(edge.select("_vs_source", F.col("e.range").alias("range"), (F.col("e.after") - F.col("e.s")).alias("ahead"), F.col("e.rest").alias("rest")), "mix-edges")
-    # equal keys are taken alike: one row a key
-    inside = placed.join(checked_broadcast(edge), ["_vs_source", "range"]).groupBy("_vs_source", "range", "_vs_key", "ahead", "rest").agg(F.sum("_vs_size").alias("s"))
-    upto = running_in_range(inside)
-    cut = upto.groupBy("_vs_source").agg(F.min(F.when(F.col("ahead") + F.col("upto") - F.col("s") / 2.0 > F.col("rest"), F.col("_vs_key"))).alias("cut"), F.max("_vs_key").alias("last"))
+    upto = running_in_range(placed.join(checked_broadcast(edge), ["_vs_source", "range"]))
+    place = F.struct("_vs_key", "_vs_row")
+    cut = upto.groupBy("_vs_source").agg(F.min(F.when(F.col("ahead") + F.col("upto") - F.col("_vs_size") / 2.0 > F.col("rest"), place)).alias("cut"), F.max(place).alias("last"))
     cut = materialize(cut.select("_vs_source", F.coalesce("cut", "last").alias("cut"), F.col("cut").isNull().alias("to")), "mix-cuts")
     return materialize(lookup(aims, cut, "_vs_source").select("_vs_source", "source_size", "target", "epochs", "cut", "to"), "mix-plan")
 
@@ -109,14 +108,15 @@ def ranged_sums(placed: DataFrame) -> DataFrame:
 
 
 def running_in_range(inside: DataFrame) -> DataFrame:
-    """inside with upto, the words up to each key within its source's range."""
-    return inside.withColumn("upto", F.sum("s").over(Window.partitionBy("_vs_source", "range").orderBy("_vs_key").rowsBetween(Window.unboundedPreceding, 0)))
+    """inside with upto, the words up to each row within its source's range."""
+    return inside.withColumn("upto", F.sum("_vs_size").over(Window.partitionBy("_vs_source", "range").orderBy("_vs_key", "_vs_row").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows, a written table, with source_size, target, copies and taken."""
     out = lookup(rows, plan, "_vs_source", "inner")
-    early = F.coalesce((F.col("_vs_key") < F.col("cut")) | (F.col("to") & (F.col("_vs_key") == F.col("cut"))), F.lit(False))
+    place = F.struct("_vs_key", "_vs_row")
+    early = F.coalesce((place < F.col("cut")) | (F.col("to") & (place == F.col("cut"))), F.lit(False))
     out = out.withColumn("copies", F.col("epochs") + early.cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("_vs_size"))
 
@@ -124,7 +124,7 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
     """One row per document: its id, size, source_size, target, taken and copies."""
     narrow = keyed(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")), "id", "source", "text", seed)
-    rows = materialize(narrow.select("id", "_vs_source", "_vs_size", "_vs_key"), "mix-rows")
+    rows = materialize(narrow.select("id", "_vs_source", "_vs_size", "_vs_key", "_vs_row"), "mix-rows")
     return taken(rows, plan(rows)).select(F.col("id").alias(doc_id), F.col("_vs_size").alias("size"), "source_size", "target", "taken", "copies")
 
 
