@@ -214,6 +214,16 @@ def test_registry(tmp_path):
     assert Registry(tmp_path).list() == [] and (tmp_path / "index.bak").exists()
 
 
+def test_fingerprint_equals_its_sql_at_any_number_of_rows(spark, tmp_path):
+    many = spark.range(4096 * 256 + 1).select(F.col("id").cast("string").alias("v"))
+    some = many.filter("v < 5000")
+    for df in (many, some.unionAll(some)):
+        path = tmp_path / str(len(list(tmp_path.iterdir())))
+        df.write.parquet(str(path))
+        sql = identity.FINGERPRINT_SQL.format(rows=f"SELECT sha256(v) AS h FROM '{path}/*.parquet'", names="v")
+        assert tuple(identity.fingerprint(df).first()) == connect("").execute(sql).fetchone()
+
+
 def test_fingerprint_ignores_order_and_sees_cells(spark):
     rows = [(1, "a", 1.5), (2, None, float("nan")), (3, "", 2.0), (3, "", 2.0)]
     df = spark.createDataFrame(rows, "a int, b string, c double")
