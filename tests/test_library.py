@@ -89,6 +89,15 @@ def test_planner():
     assert any("No join" in w for w in nlq.plan("average k of a_x per v of b_y", two).warnings)
 
 
+def test_condition_without_a_verb_has_all_rows(spark):
+    orders = spark.range(100).select(F.col("id").alias("o_orderkey"), F.col("id").cast("double").alias("o_totalprice"))
+    p, got = nlq.ask("Orders with price over 59", SCHEMA, {"orders": orders})
+    assert got.count() == 40 and p.limit is None and not p.warnings
+    assert nlq.ask("Orders with price over 59, first 7", SCHEMA, {"orders": orders})[1].count() == 7
+    p, got = nlq.ask("Show orders with price over 59", SCHEMA, {"orders": orders})
+    assert got.count() == p.limit == nlq.DEFAULT_LIMIT and p.warnings, "a list has a limit, and says so"
+
+
 def test_sandbox(spark, sf_dir):
     sandbox.register(catalog.load_all(spark, sf_dir))
     got = sandbox.execute(spark, "SELECT * FROM lineitem")

@@ -336,7 +336,7 @@ def plan(question: str, schema: Schema) -> Plan:
         p.confidence = 0.7 if p.columns else 0.6
         if p.limit and p.descending and (m := pick_measure(q, tables[0], columns, schema)):
             p.measure, p.confidence = m, 0.75
-    if p.limit is None and p.intent in ("list", "filter") and not (p.period and p.time) and not p.group:
+    if p.limit is None and p.intent == intents[0] == "list" and not (p.period and p.time) and not p.group:  # a condition without a verb asks for all rows that meet it
         p.limit = DEFAULT_LIMIT
         p.warnings.append(f"Results are limited to {DEFAULT_LIMIT} rows")
     needed = {p.tables[0], *[c.table for c, _, _ in p.filters], *[c.table for c in (p.measure, p.group, p.time) if c]}
