@@ -299,6 +299,44 @@ def test_quality_verdicts_equal_brute_force(spark):
     assert all(r.kept for k, r in got.items() if k % 3 == 0 and k < 1200), "a stratum with few labels certifies nothing"
 
 
+def test_quality_cutoffs_come_from_all_trials(spark):
+    """Ranked cutoffs against plain sorting of more trials than any sample had, in one range and in many."""
+    n = 40_000
+    zero = {c: F.lit(0).cast("long").alias(c) for c in quality.COUNTS + quality._MORE}
+    r = lambda k, m: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(m))
+    bad = F.col("doc_id") % 3 == 0
+    zero |= {"n_words": (r(1, 900) + 100).alias("n_words"), "word_chars": (r(2, 4000) + F.when(bad & (r(8, 9) == 0), 4000).otherwise(0) + 1).alias("word_chars"), "n_letters": (r(3, 5000) + 1000).alias("n_letters"), "n_lines": F.lit(10).cast("long").alias("n_lines")}
+    zero |= {"n_symbols": (r(4, 60) + F.when(bad & (r(6, 2) == 0), 50).otherwise(0)).alias("n_symbols"), "n_upper": (r(5, 900) + F.when(bad & (r(7, 2) == 0), 800).otherwise(0)).alias("n_upper")}
+    labelled = spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", F.lit("en").alias("lang"), F.xxhash64("doc_id").alias("h"), F.when(bad, 0).otherwise(1).alias("quality"), *zero.values())
+    rows = [x for x in labelled.collect() if x.h % 2 == 0]
+    d = lambda a, b: a / max(b, 1)
+    left, want = [([d(x.n_symbols, x.n_words), d(x.n_upper, x.n_letters), 0.0, 0.0, 0.0, 0.0, d(x.word_chars, x.n_words), -d(x.word_chars, x.n_words)], x.quality) for x in rows], []
+    n_bad = sum(1 for _, y in left if not y)
+    assert n_bad > 4000 < len(left) - n_bad
+    while len(want) < 12:
+        best = (0.005 * n_bad, None, None)
+        for k in range(8):
+            gain, ordered = 0, sorted(left, key=lambda z: -z[0][k])
+            for (v, y), (w, _) in zip(ordered, ordered[1:]):
+                gain += -10 if y else 1
+                if v[k] > w[k] and gain > best[0]:
+                    best = (gain, k, (v[k] + w[k]) / 2)
+        if best[1] is None:
+            break
+        want.append((best[1], -best[2] if best[1] == 7 else best[2]))
+        left = [z for z in left if z[0][best[1]] <= best[2]]
+    assert len(want) >= 3
+    assert quality.fit(labelled, "lang", "doc_id", "h").ranked == want
+    few = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
+        assert quality.fit(labelled, "lang", "doc_id", "h").ranked == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", few)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_quality_counts_a_text_once(spark):
     rng = np.random.default_rng(6)
     say = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(n))

@@ -2,8 +2,9 @@
 
 Statistics of every whole text feed simple rules (a statistic above or below a cutoff). Trials are distinct labelled
 texts: a repeated document id counts once, and so does a text under several ids, within its stratum (language). Half of
-the texts, by a hash of the text, so that copies never lie on both sides, ranks cutoffs (on a bounded sample) greedily by
-the bad documents that they newly reject less ten times the good ones. All texts of the other half certify them: per
+the texts, by a hash of the text, so that copies never lie on both sides, ranks cutoffs greedily by the bad documents that
+they newly reject less ten times the good ones: all texts of that half, in ranges of each statistic's values, so that no
+task and no driver gathers them. All texts of the other half certify them: per
 stratum, the ranked rules are tried in that order, and a prefix of them is accepted while an exact binomial test shows,
 for all rules of the prefix together, that good texts are rejected at a rate below `ALPHA`. Strata share the error
 probability `DELTA` by Bonferroni; within a stratum the order is fixed beforehand and testing stops at the first
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -31,13 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WHITE, as_bytes, bounded_sample, map_columns, materialize, named_back, plain_names
+from .shared import WHITE, as_bytes, map_columns, materialize, named_back, plain_names
 
 ALPHA, DELTA, STEPS = 0.05, 0.05, 12
 #: Strata that are certified apart; all others are one.
 MOST_STRATA = 64
-#: Labelled documents of each label that rank the cutoffs, about.
-TUNE_ROWS = 4000
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_upper", "n_letters", "n_bangs", "n_echoes")
@@ -54,8 +54,8 @@ RULES = (
 )
 
 
-def _at_least_one(x):
-    return F.greatest(x, F.lit(1)) if isinstance(x, Column) else np.maximum(x, 1)
+def _at_least_one(x: Column) -> Column:
+    return F.greatest(x, F.lit(1))
 
 
 _TO_SPACE_CONT = WHITE + bytes(range(128, 192))
@@ -192,30 +192,63 @@ def certify(tallies: dict[str, dict[int, int]], steps: int, alpha: float = ALPHA
     return out
 
 
-def rank_rules(rows: pd.DataFrame, steps: int = STEPS) -> list[tuple[int, float]]:
-    """Greedy (rule, cutoff) pairs by newly rejected bad documents less ten times newly rejected good ones."""
-    rows = rows[rows["n_words"] > 0]
-    good = (rows["quality"] == 1).to_numpy()
-    n_bad = max(1, int((~good).sum()))
-    stats = [np.asarray(stat(lambda c: rows[c].to_numpy(dtype=float)), dtype=float) * (1 if sense == ">" else -1) for _, stat, sense in RULES]
-    left, out = np.ones(len(rows), bool), []
-    for _ in range(steps):
-        best = (0.005 * n_bad, None, 0.0)
-        for r, values in enumerate(stats):
-            v, g = values[left], good[left]
-            if not len(v):
-                continue
-            order = np.argsort(-v, kind="stable")
-            v, g = v[order], g[order]
-            gain = np.cumsum(np.where(g, -10.0, 1.0))
-            cut = np.flatnonzero(np.append(v[:-1] > v[1:], False))  # between different values only
-            if len(cut) and gain[cut].max() > best[0]:
-                at = cut[int(np.argmax(gain[cut]))]
-                best = (float(gain[at]), r, float((v[at] + v[at + 1]) / 2))
-        if best[1] is None:
-            break
-        left &= ~(stats[best[1]] > best[2])
-        out.append((best[1], best[2] if RULES[best[1]][2] == ">" else -best[2]))
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of levels (rule, v, gain) by rule and falling v: per rule of a task its first and last v, the sum of its gains, and its best cut: the gain above it and the values on both sides."""
+    names = ("rule", "first", "last", "total", "best", "above", "below")
+    seg = None
+    for batch in batches:
+        rules, v, gain = (batch.column(c).to_numpy() for c in ("rule", "v", "gain"))
+        for rule in np.unique(rules):
+            own = rules == rule
+            values, sums = v[own], np.cumsum(gain[own])
+            if seg is None or seg["rule"] != rule:
+                if seg is not None:
+                    yield pa.RecordBatch.from_pylist([seg], _SEGMENT)
+                seg = dict(zip(names, (int(rule), float(values[0]), None, 0, None, None, None)))
+            else:
+                values, sums = np.append(seg["last"], values), np.append(0, sums)
+            if len(values) > 1:
+                k = int(np.argmax(sums[:-1]))
+                if seg["best"] is None or seg["total"] + int(sums[k]) > seg["best"]:
+                    seg |= {"best": seg["total"] + int(sums[k]), "above": float(values[k]), "below": float(values[k + 1])}
+            seg |= {"last": float(values[-1]), "total": seg["total"] + int(sums[-1])}
+    if seg is not None:
+        yield pa.RecordBatch.from_pylist([seg], _SEGMENT)
+
+
+_SEGMENT = pa.schema([("rule", pa.int32()), ("first", pa.float64()), ("last", pa.float64()), ("total", pa.int64()), ("best", pa.int64()), ("above", pa.float64()), ("below", pa.float64())])
+
+
+def best_cut(rows: DataFrame, least: float) -> tuple[int, float] | None:
+    """The rule and cutoff of most gain above the cutoff, if it is more than least. rows: gain, and v0, v1 and so on by rule.
+
+    Equal values are summed first; the levels are dealt to tasks by ranges, and each task gives one row a rule.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"v{r}").alias("v")) for r in range(len(RULES))]))
+    levels = rows.select(each.alias("e"), "gain").groupBy("e.rule", "e.v").agg(F.sum("gain").alias("gain"))
+    order = [F.col("rule"), F.desc("v")]
+    found = levels.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_segments, "rule int, first double, last double, total long, best long, above double, below double").collect()
+    best, cut, ahead, last = least, None, 0, None
+    for s in sorted(found, key=lambda s: (s.rule, -s.first)):
+        if last is None or last.rule != s.rule:
+            ahead = 0
+        elif ahead > best:
+            best, cut = ahead, (s.rule, (last.last + s.first) / 2)
+        if s.best is not None and ahead + s.best > best:
+            best, cut = ahead + s.best, (s.rule, (s.above + s.below) / 2)
+        ahead, last = ahead + s.total, s
+    return cut
+
+
+def rank_rules(rows: DataFrame, prefix: str = "", steps: int = STEPS) -> list[tuple[int, float]]:
+    """Greedy (rule, cutoff) pairs by newly rejected bad documents less ten times newly rejected good ones, over all rows, a written table."""
+    stats = [stat(lambda c: F.col(prefix + c)) * F.lit(1.0 if sense == ">" else -1.0) for _, stat, sense in RULES]
+    left = rows.filter(F.col(prefix + "n_words") > 0).select(F.when(F.col("quality") == 1, -10).otherwise(1).cast("long").alias("gain"), *[v.alias(f"v{r}") for r, v in enumerate(stats)])
+    n_bad, out = left.filter("gain > 0").count(), []
+    while n_bad and len(out) < steps and (cut := best_cut(left, 0.005 * n_bad)):
+        rule, value = cut
+        left = left.filter(F.col(f"v{rule}") <= value)
+        out.append((rule, value if RULES[rule][2] == ">" else -value))
     return out
 
 
@@ -228,12 +261,10 @@ def trials(labelled: DataFrame, stratum: str, id_column: str, text_hash: str, pr
     return texts.filter("quality = _vs_most").withColumn("_vs_fold", F.pmod(F.col(text_hash), F.lit(2))).drop("_vs_most")
 
 
-def fit(labelled: DataFrame, stratum: str, id_column: str, text_hash: str, prefix: str = "", alpha: float = ALPHA, delta: float = DELTA, tune_rows: int = TUNE_ROWS, most_strata: int = MOST_STRATA) -> Policy:
+def fit(labelled: DataFrame, stratum: str, id_column: str, text_hash: str, prefix: str = "", alpha: float = ALPHA, delta: float = DELTA, most_strata: int = MOST_STRATA) -> Policy:
     """The certified policy. labelled: id, stratum, text hash, quality (0 or 1) and the counts."""
     usable = materialize(trials(labelled, stratum, id_column, text_hash, prefix), "quality-trials")
-    tune = bounded_sample(usable.filter("_vs_fold = 0"), F.col("quality").cast("string"), F.col(text_hash), tune_rows)
-    rows = tune.select("quality", *[F.col(prefix + c).alias(c) for c in COUNTS + _MORE]).toArrow().to_pandas()
-    ranked = rank_rules(rows) if len(rows) else []
+    ranked = rank_rules(usable.filter("_vs_fold = 0"), prefix)
     policy = Policy(ranked, {})
     test = usable.filter("_vs_fold = 1 and quality = 1")
     largest = [r[0] for r in test.groupBy("_vs_s").count().orderBy(F.desc("count"), "_vs_s").limit(most_strata + 1).collect()]
